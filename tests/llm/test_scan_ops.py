@@ -1,0 +1,214 @@
+"""Secrets, licences, line chunks, token counts: against plain Python."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tests.llm.cases import WORDS, awkward, frame
+from tributary.llm import licenses, line_chunks, secrets, token_counts
+from tributary.llm.common import read_table
+from tributary.llm.queries import QUERIES
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_forest_on_held_out_findings():
+    rows = secrets.invented_findings(3000)
+    forest = secrets.fit(rows[:2000])
+    x = np.array([secrets.features(*r[:5]) for r in rows[2000:]], float)
+    y = np.array([r[5] for r in rows[2000:]])
+    said = 2 * forest.votes(x) >= secrets.TREES
+    assert (said == y).mean() > 0.97
+    assert (forest.votes(x) == secrets.fit(rows[:2000]).votes(x)).all()
+
+
+def test_forest_of_one_class_and_of_none():
+    rows = [r for r in secrets.invented_findings(200) if r[5]]
+    assert (secrets.fit(rows, trees=3).votes(np.array([secrets.features(*r[:5]) for r in rows], float)) == 3).all()
+    with pytest.raises(ValueError):
+        secrets.fit([])
+
+
+def test_secrets(spark):
+    sf = "/root/testdata/sf0.01"
+    got = rows_of(QUERIES["op1_secrets"](spark, sf))
+    planted, other = set(), set()
+    for r in read_table(spark, sf, "documents").collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"]):
+            planted.add((r["doc_id"], m.start(1), 40, hashlib.sha256(m[1].encode()).hexdigest()))
+        for m in re.finditer(r"(?<!\S)\d{16}(?!\S)", r["text"]):
+            other.add((r["doc_id"], m.start(), 16, hashlib.sha256(m[0].encode()).hexdigest()))
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["value_sha256"])
+    assert planted and planted <= {key(r) for r in got if r["is_secret"]}
+    assert other and other <= {key(r) for r in got if not r["is_secret"]}
+
+
+def test_secrets_awkward(spark):
+    forest = secrets.fit(secrets.invented_findings(400))
+    long = ("x " * 200_000) + 'password = "hunter2hunter2"'
+    rows = [*awkward(), (11, 'api_key: "0f8fad5bd9cb469fa16570867728950e"', None, None, None, None, None, None), (12, long, None, "a", None, None, None, None)]
+    got = rows_of(secrets.secret_findings(frame(spark, rows), forest, path="source"))
+    assert {(r["doc_id"], r["start"]) for r in got if r["doc_id"] in (11, 12)} == {(11, 10), (12, 400_012)}
+    assert secrets.secret_findings(frame(spark, []), forest).count() == 0
+    table = spark.createDataFrame(secrets.invented_findings(50), "value string, kind string, before string, after string, path string, label int")
+    assert len(secrets.fit_on(table).trees) == secrets.TREES
+
+
+LICENCE_LINES = [
+    (r"This work is licensed under the GNU General Public License, version (\d+)\.", "GPL-{}"),
+    (r"Licensed under CC BY-NC (\d+\.\d+)\.", "CC-BY-NC-{}"),
+    (r"Released under the MIT License\.()", "MIT"),
+    (r"Licensed under the Apache License, Version (\d+\.\d+)\.", "Apache-{}"),
+]
+
+
+def test_licenses(spark):
+    sf, seen = "/root/testdata/sf0.01", 0
+    got = {r["doc_id"]: r for r in rows_of(QUERIES["op2_licenses"](spark, sf))}
+    for r in read_table(spark, sf, "documents").collect():
+        want = sorted({name.format(m[1]) for p, name in LICENCE_LINES for m in re.finditer(rf"(?m)^{p}$", r["text"])})
+        assert got[r["doc_id"]]["licenses"] == ",".join(want), r["doc_id"]
+        seen += bool(want)
+    assert seen > 5
+
+
+MIT = """/* Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ *
+ * The above copyright notice and this permission notice shall be included in all
+ * copies or substantial portions of the Software.
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+ * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+ * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+ */"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+# GNU General Public License for more details."""
+
+
+def test_licenses_awkward(spark):
+    extra = [
+        (20, "words | pipes\n" + MIT + "\nmore"),
+        (21, GPL),
+        (22, "Licensed under the Frobnicate Public License."),
+        (23, MIT + "\n\nLicensed under the Apache License, Version 2.0. Released under the MIT license!"),
+        (24, "Released under a moon"),
+        (25, WORDS + " license"),
+    ]
+    rows = [*awkward(), *[(*e, None, None, None, None, None, None) for e in extra]]
+    got = {r["doc_id"]: (r["licenses"], r["unknown"]) for r in rows_of(licenses.license_findings(frame(spark, rows)))}
+    assert [got[i] for i in range(20, 26)] == [("MIT", 0), ("GPL-3-or-later", 0), ("", 1), ("Apache-2.0,MIT", 0), ("", 0), ("", 0)]
+    assert got[0] == got[1] == got[3] == ("", 0)
+    assert licenses.license_findings(frame(spark, [])).count() == 0
+
+
+def reference_chunks(text):
+    lines = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    out, start = [], 0
+    for i in range(len(lines)):
+        rolled = i >= 2 and ((h[i - 2] * 16381 + h[i - 1]) * 16381 + h[i]) % 2147483647
+        if i == len(lines) - 1 or (i >= 2 and rolled % 4 == 0):
+            out.append(lines[start : i + 1])
+            start = i + 1
+    return out
+
+
+def reference_lines(docs):
+    blank = lambda x: not x.strip(" \t\x0b\x0c\r")
+    cuts = [reference_chunks(t) if t is not None else [] for _, t in docs]
+    owners = defaultdict(list)
+    for d, (doc, _) in enumerate(docs):
+        for k, c in enumerate(cuts[d]):
+            if sum(not blank(x) for x in c) >= 2:
+                owners["\n".join(c)].append((doc is None, doc, d, k))
+    stays = set()
+    for places in owners.values():
+        best = min(p[:2] for p in places)
+        firsts = {}
+        for none, doc, d, k in places:
+            if (none, doc) == best:
+                firsts.setdefault(d, (d, k))
+        stays |= set(firsts.values())
+    repeated = {(d, k) for places in owners.values() for _, _, d, k in places} - stays
+    out = []
+    for d, (doc, text) in enumerate(docs):
+        if text is None:
+            out.append((doc, 0, 0, 0, None))
+            continue
+        kept = [c for k, c in enumerate(cuts[d]) if (d, k) not in repeated]
+        left = [x for c in kept for x in c]
+        gone = len(cuts[d]) - len(kept)
+        n = text.count("\n") + 1
+        out.append((doc, n, gone, n - len(left), "\n".join(left)))
+    return Counter(out)
+
+
+def line_rows(df):
+    return Counter((r["doc_id"], r["n_lines"], r["chunks_removed"], r["lines_removed"], r["clean_text"]) for r in df.collect())
+
+
+def test_line_chunks(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    want = reference_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert line_rows(line_chunks.without_repeated_chunks(docs)) == want
+    assert sum(r[2] for r in want) > 0
+
+
+def test_line_chunks_awkward(spark):
+    block = "\n".join(f"line {i} of a shared block" for i in range(30))
+    extra = [(30, "intro\n" + block), (31, "another\nlonger intro\n" + block + "\nend"), (31, "x\n" + block), (32, block + "\n\n" + block), (33, "\n" * 50), (34, "\n" * 50), (35, "a\r\nb\r\n" * 9), (None, block)]
+    rows = [*awkward(), *[(*e, None, None, None, None, None, None) for e in extra]]
+    got = line_rows(line_chunks.without_repeated_chunks(frame(spark, rows)))
+    assert got == reference_lines([r[:2] for r in rows])
+    removed = {r[0]: r[3] for r in got}
+    assert removed[31] >= 15 and removed[33] == 0
+    assert line_chunks.without_repeated_chunks(frame(spark, [])).count() == 0
+    out = line_chunks.cleaned_rows(frame(spark, rows))
+    assert out.columns == frame(spark).columns and out.count() == len(rows)
+
+
+def test_token_counts(spark, sf):
+    encode = token_counts.encoding(token_counts.RANKS).encode_ordinary
+    lengths = Counter(len(encode(r["text"])) for r in read_table(spark, sf, "documents").collect())
+    got = {r["n_tokens"]: r for r in rows_of(QUERIES["op9_token_counts"](spark, sf))}
+    docs, tokens = sum(lengths.values()), sum(n * k for n, k in lengths.items())
+    assert {n: r["n_docs"] for n, r in got.items()} == lengths
+    for n, r in got.items():
+        assert r["docs_from"] == sum(k for m, k in lengths.items() if m >= n)
+        assert r["tokens_from"] == sum(m * k for m, k in lengths.items() if m >= n)
+        assert r["docs_upto"] == sum(k for m, k in lengths.items() if m <= n)
+        assert r["truncated_total"] == sum(min(m, n) * k for m, k in lengths.items())
+    sums = QUERIES["op9_token_counts"](spark, sf)
+    said = token_counts.answers(sums, [0, 1, 77, 512, 10**7])
+    assert (said["documents"], said["tokens"]) == (docs, tokens)
+    for limit, a in said["limits"].items():
+        assert a["truncated_total"] == sum(min(m, limit) * k for m, k in lengths.items())
+    ordered = sorted(lengths.elements())
+    assert all(n == ordered[max(1, math.ceil(q * docs)) - 1] for q, n in said["quantiles"].items())
+
+
+def test_token_counts_awkward(spark):
+    lengths = rows_of(token_counts.token_lengths(frame(spark)))
+    assert [r["n_tokens"] for r in lengths if r["doc_id"] in (0, 1)] == [0, 0] and len(lengths) == len(awkward())
+    empty = token_counts.suffix_sums(token_counts.length_histogram(token_counts.token_lengths(frame(spark, []))))
+    assert token_counts.answers(empty, [5]) == {"documents": 0, "tokens": 0, "limits": {5: {"truncated_total": 0, "documents_at_or_over": 0}}, "quantiles": {0.5: None, 0.9: None, 0.99: None}}
+    h = token_counts.length_histogram(token_counts.token_lengths(frame(spark)))
+    assert {tuple(r) for r in token_counts.merged(h, h).collect()} == {(r["n_tokens"], 2 * r["n_docs"]) for r in h.collect()}

@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import decontamination, mixing, near_dup, quality, sharding, warc
+from tributary.llm import decontamination, licenses, line_chunks, mixing, near_dup, quality, secrets, sharding, token_counts, warc
 from tributary.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no labelled findings, so the forest is fitted on invented ones; a document's source is its path."""
+    forest = secrets.fit(secrets.invented_findings())
+    return secrets.secret_findings(read_table(spark, sf_dir, "documents"), forest, path="source")
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_findings(read_table(spark, sf_dir, "documents"))
+
+
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.without_repeated_chunks(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "chunks_removed", "lines_removed", F.md5(F.encode("clean_text", "UTF-8")).alias("clean_md5"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(read_table(spark, sf_dir, "documents"))
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
@@ -42,16 +57,25 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.token_lengths(read_table(spark, sf_dir, "documents"))
+    return token_counts.suffix_sums(token_counts.length_histogram(lengths))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
+    "op2_licenses": op2_licenses,
+    "op3_line_chunks": op3_line_chunks,
     "op4_sharding": op4_sharding,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 

@@ -10,7 +10,7 @@ import pytest
 
 from tests.llm.cases import awkward, frame
 from tributary.llm import decontamination, near_dup
-from tributary.llm.common import read_table
+from tributary.llm.common import read_table, with_marks
 from tributary.llm.components import components
 from tributary.llm.queries import QUERIES
 
@@ -184,3 +184,19 @@ def test_matches_are_longest(spark):
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     (row,) = decontamination.contamination(docs, bench).collect()
     assert [tuple(m) for m in row["matches"]] == [("7", 5, 2, 35), ("7", 2, 38, 12)]
+
+
+def test_marks_lose_no_id(spark):
+    ids = spark.createDataFrame([(i * 7919,) for i in range(500)] + [(-5,), (None,)], "doc_id long")
+    rows = spark.createDataFrame([(i,) for i in range(-10, 40_000)] + [(i * 7919,) for i in range(500)] + [(None,)], "doc_id long")
+    got = [(r["doc_id"], r["_maybe"]) for r in with_marks(rows, "doc_id", ids).collect()]
+    inside = {r["doc_id"] for r in ids.collect()}
+    assert len(got) == 40_010 + 501 and all(m for i, m in got if i in inside)
+    assert sum(m for i, m in got if i not in inside) < 20
+
+
+def test_deduplicated_rows(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    want = near_reference([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = near_dup.deduplicated_rows(docs)
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r[0] for r in want.elements() if r[3])

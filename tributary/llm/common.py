@@ -78,3 +78,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def word_count(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of the marks below: 4 MiB in all, whatever the number of ids.
+MARK_BITS = 1 << 25
+
+
+def with_marks(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` plus ``_maybe``: false only where ``key`` isn't in ``ids`` (a column of the same name).
+
+    One bit for each hash of an id, in at most 1,024 bitmaps of 4 KiB, is broadcast. Rows that aren't marked need no
+    exact join with ``ids``, so their texts needn't be shuffled for it.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    marks = ids.select(F.bitmap_bucket_number(h).alias("_b"), F.bitmap_bit_position(h).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    at = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring(F.col("_m"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    return df.withColumn("_b", F.bitmap_bucket_number(h)).join(F.broadcast(marks), "_b", "left").select(*[F.col(c) for c in df.columns], F.coalesce(bit, F.lit(False)).alias("_maybe"))

@@ -16,7 +16,7 @@
 
 Defined results: null texts, empty texts and texts without words have the empty set and are linked with nothing;
 repeated rows (one doc_id, one text) are all kept or all dropped; rows with a null doc_id take the component of their
-class and are kept only where it has no doc_id; an empty table gives no rows; further columns are ignored or returned
+class and are kept only where it has no doc_id (``deduplicated_rows`` returns all of them); an empty table gives no rows; further columns are ignored or returned
 untouched.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, materialize, pick, unpack_row, with_row
+from tributary.llm.common import ROW, materialize, pick, unpack_row, with_marks, with_row
 from tributary.llm.components import components
 from tributary.llm.words import SPACED, U64, hashed, mix, windows
 
@@ -225,7 +225,7 @@ def _classes_and_links(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     sized = stars.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     alike = materialize(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_screened, "a long, b long"), "near-stars")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = base.join(wanted, "doc_id", "left_semi")
+    texts = with_marks(base, "doc_id", wanted).where("_maybe").drop("_maybe").join(wanted, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_full_sets, "node long, name binary, shingles binary").groupBy("node", "name").agg(F.any_value("shingles").alias("shingles")), "near-sets")
     first = materialize(_links(alike, sets), "near-links")
     found = components(first)
@@ -258,5 +258,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     gone = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
-    rows = with_row(docs, doc_id="long").select(ROW, "doc_id")
-    return unpack_row(rows.join(gone, "doc_id", "left_anti"), docs.columns)
+    rows = with_marks(with_row(docs, doc_id="long"), "doc_id", gone)
+    stay = rows.where("_maybe").join(gone, "doc_id", "left_anti").select(ROW)
+    return unpack_row(rows.where("not _maybe").select(ROW).unionByName(stay), docs.columns)

@@ -186,3 +186,14 @@ def mutated(b: Bundle, sf_dir: str) -> Bundle:
     more = flags.where("idx % 47 = 0").join(alive, "unique_id", "left_semi").select("unique_id", F.lit(3).alias("pos"), F.lit("extra").alias("name"), F.lit("text").alias("data_type"), F.lit(None).cast("string").alias("description"), F.array().cast(f"array<{CONSTRAINT}>").alias("constraints"))
     columns = b.columns.join(alive, "unique_id", "left_semi").unionByName(more)
     return b.with_(nodes=nodes, edges=written(pruned(edges, nodes), "edges"), node_sql=sql, tests=tests, columns=columns, detail=b.detail.join(alive, "unique_id", "left_semi"))
+
+
+def with_joined_code(b: Bundle) -> Bundle:
+    """Each model reads its first parent (by uid) and joins the second, whose value filters."""
+    ends = b.nodes.select(F.col("unique_id").alias("parent"), F.when(F.col("resource_type") == "source", F.concat(F.lit("{{ source('raw', '"), "name", F.lit("') }}"))).otherwise(F.concat(F.lit("{{ ref('"), "name", F.lit("') }}"))).alias("call"))
+    kin = b.edges.join(ends, "parent").groupBy(F.col("child").alias("unique_id")).agg(F.array_sort(F.collect_list(F.struct("parent", "call"))).alias("p"))
+    second = F.concat(F.lit(" join "), F.get("p", 1)["call"], F.lit(" p2 on p1.id = p2.id where p2.c0000 > 1"))
+    code = F.concat(F.lit("select p1.id, p1.c0000 from "), F.get("p", 0)["call"], F.lit(" p1"), F.coalesce(second, F.lit("")))
+    models = b.nodes.where("resource_type = 'model'").select("unique_id")
+    sql = models.join(kin, "unique_id").select("unique_id", code.alias("raw_code"), F.lit(None).cast("string").alias("compiled_code"), F.lit(False).alias("stale"))
+    return b.with_(node_sql=sql, catalog_columns=b.catalog_columns.limit(0))

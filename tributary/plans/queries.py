@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names as N
-from tributary.operators import attributes, diff, impact, lint, select, traverse
+from tributary.operators import attributes, diff, impact, lineage, lint, select, traverse
 from tributary.plans import graphs
 from tributary.plans.bundle import Bundle
 from tributary.plans.layered_sql import LATER, A, B, over
@@ -397,6 +397,43 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.gate_results(later(spark, sf_dir), layered(spark, sf_dir), config)
 
 
+# --- column lineage --------------------------------------------------------------------------------------------------
+
+_COLUMN_EDGES = """pr as (select child, parent, row_number() over (partition by child order by parent) as rn from edges where child like 'model.%'),
+ce as (select parent as from_node, c as from_col, child as to_node, c as to_col, 'passthrough' as kind from pr, (values ('id'), ('c0000')) v(c) where rn = 1
+ union all select parent, c, child, o, 'filter_or_join' from pr, (values ('id'), ('c0000')) v(c), (values ('id'), ('c0000')) w(o) where rn = 2)"""
+
+
+def _column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tributary.session import written
+
+    return _once(spark, sf_dir, "column_edges", lambda: written(lineage.column_edges(graphs.with_joined_code(layered(spark, sf_dir))), "column-edges"))  # type: ignore[return-value]
+
+
+@query("column_edges", over(B, _COLUMN_EDGES, query="select from_node, from_col, to_node, to_col, kind, 'exact' as confidence from ce"))
+def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _column_edges(spark, sf_dir)
+
+
+@query("column_closure_up", over(B, _COLUMN_EDGES, "r(node, col) as (select unique_id, 'c0000' from m where layer = 'marts' and k = 4 union select ce.from_node, ce.from_col from r join ce on ce.to_node = r.node and ce.to_col = r.col)", query="select node, col as \"column\" from r where node not in (select unique_id from m where layer = 'marts' and k = 4)"))
+def column_closure_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mart = layered(spark, sf_dir).nodes.where("name = 'fct_00004'").first()["unique_id"]
+    return lineage.column_closure(_column_edges(spark, sf_dir), mart, "c0000").select("node", "column")
+
+
+@query("column_counts", over(B, _COLUMN_EDGES, query="""select coalesce(i.node, o.node) as node, coalesce(i.c, o.c) as "column", coalesce(i.n, 0) as direct_in, coalesce(o.n, 0) as direct_out from
+ (select to_node as node, to_col as c, count(*) as n from ce group by 1, 2) i full join (select from_node as node, from_col as c, count(*) as n from ce group by 1, 2) o on i.node = o.node and i.c = o.c"""))
+def column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.column_counts(_column_edges(spark, sf_dir))
+
+
+@query("hard_coded_references", over(B, query="select unique_id, 't_' || name as related from m"))
+def hard_coded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = layered(spark, sf_dir)
+    found = lint.RULES["hard_coded_references"].run(b, {"facts": lineage.sql_facts(b)})
+    return found.select("unique_id", F.array_join("related", ",").alias("related"))
+
+
 # --- lint -----------------------------------------------------------------------------------------------------------
 
 _LINT = """lay as (select *, case when name like 'stg\\_%' escape '\\' then 'staging' when name like 'int\\_%' escape '\\' then 'intermediate'

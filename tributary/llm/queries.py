@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import decontamination, licenses, line_chunks, mixing, near_dup, quality, secrets, sharding, token_counts, warc
 from tributary.llm.common import read_table
+from tributary.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,5 +79,3 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
-
-ORACLES: dict[str, str] = {}

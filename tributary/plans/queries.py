@@ -391,7 +391,25 @@ def affected_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.owners(current, impact.changed_nodes(current, _changes(spark, sf_dir)))
 
 
-@query("gates")
+_VIOLATIONS = """rank(dir_layer, r) as (values ('staging', 0), ('intermediate', 1), ('marts', 2)),
+bench as (select unique_id, r from nodes2 join rank using (dir_layer) where resource_type = 'model' and split_part(unique_id, '.', 2) = 'bench'),
+bench1 as (select unique_id, r from nodes join rank using (dir_layer) where resource_type = 'model' and split_part(unique_id, '.', 2) = 'bench'),
+viol as (select parent, child from edges2 join bench p on p.unique_id = parent join bench c on c.unique_id = child where p.r > c.r
+ except select parent, child from edges join bench1 p on p.unique_id = parent join bench1 c on c.unique_id = child where p.r > c.r),
+hub as (select c.unique_id from changed c join w on w.seed = c.unique_id group by 1 having count(*) filter (node <> seed and node not like 'exposure.%') >= 5),
+reached as (select unique_id, resource_type from hit where resource_type = 'exposure' or (resource_type = 'model' and split_part(unique_id, '.', 2) = 'bench')),
+val as (select (select cast(floor(100 * count(*) filter (unique_id in (select unique_id from tests2)) / count(*)) as bigint) from nodes2 where resource_type = 'model' and split_part(unique_id, '.', 2) = 'bench') as cov,
+ (select count(*) from viol) as viol, (select count(*) from changed where unique_id not in (select unique_id from tests2)) as untested, (select count(*) from hub) as hubs,
+ (select count(*) from reached where resource_type = 'exposure') as expo, (select count(*) from reached where resource_type <> 'exposure') as blast)"""
+_WALK2 = "w(seed, node) as (select unique_id, unique_id from changed union select w.seed, e.child from w join edges2 e on e.parent = w.node)"
+
+
+@query("gates", over(B, LATER, _REASONS, _BELOW, _WALK2, _VIOLATIONS, query="""select 0 as rank, 'coverage' as gate, 'error' as severity, case when cov < 60 then 'fail' else 'pass' end as status, cov as value, 60 as bound from val
+ union all select 1, 'column_coverage', 'off', 'off', null, 80 union all select 2, 'doc_coverage', 'off', 'off', null, 80
+ union all select 3, 'new_layer_violations', 'error', case when viol > 0 then 'fail' else 'pass' end, viol, null from val
+ union all select 4, 'untested_changes', 'warn', case when untested > 0 then 'warn' else 'pass' end, untested, null from val union all select 5, 'breaking_columns', 'error', 'skip', null, null
+ union all select 6, 'changed_hubs', 'warn', case when hubs > 0 then 'warn' else 'pass' end, hubs, 5 from val union all select 7, 'affected_exposures', 'warn', case when expo > 0 then 'warn' else 'pass' end, expo, null from val
+ union all select 8, 'blast_radius', 'warn', case when blast > 10 then 'warn' else 'pass' end, blast, 10 from val union all select 9, 'docs_drift', 'off', 'off', null, null"""))
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = {"coverage": {"min": 60}, "blast_radius": {"max": 10}}
     return impact.gate_results(later(spark, sf_dir), layered(spark, sf_dir), config)
@@ -496,7 +514,14 @@ query("lint_chained_views", over(B, """v as (select e.parent, e.child from edges
  r(node, n) as (select unique_id, 1 from m where materialized in ('view', 'ephemeral') union select v.child, r.n + 1 from r join v on v.parent = r.node)""", query="select node as unique_id, cast(max(n) as varchar) as related from r where node not in (select parent from v) group by 1 having max(n) >= 2"))(_lint("chained_views", {"threshold": 2}))
 
 
-@query("lint_summary")
+_COUNTED = " union all ".join(
+    f"select '{r}' as rule, '{lint.RULES[r].severity}' as severity, count(*) filter (unique_id not in (select unique_id from m where k % 5 = 0)) as counted, count(*) as found from ({sql}) q_{r}"
+    for r, sql in LINT.items()
+    if lint.RULES[r].default
+)
+
+
+@query("lint_summary", over(B, _PK, _LINT, query=f"""select rule, severity, counted, case when counted = 0 then 'pass' when severity = 'error' then 'fail' else 'warn' end as status from ({_COUNTED}) where found > 0"""))
 def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = layered(spark, sf_dir)
     found, _ = lint.findings(b)

@@ -23,7 +23,7 @@ r(d, c) as (select a, a from e union select e.b, r.c from r join e on e.a = r.d)
 select s.doc_id, cast(len(s) as bigint) as n_shingles, coalesce(m.c, s.doc_id) as component_id, coalesce(m.c, s.doc_id) = s.doc_id as kept
 from s left join (select d, min(c) as c from r group by d) m on m.d = s.doc_id"""
 
-_FENCE = {"symbols": ("n_symbols", "word_chars", 30), "dup_lines": ("n_dup_lines", "n_lines", 300), "repeats": ("n_repeat_words", "n_words", 250), "word_length": ("word_chars", "n_words", 2500)}
+_FENCE = {"symbols": ("n_symbols", "word_chars", 30), "dup_lines": ("n_dup_lines", "n_lines", 500), "repeats": ("n_repeat_words", "n_words", 400), "word_length": ("word_chars", "n_words", 2500)}
 _VALUES = "\n union all ".join(f"select doc_id, lang, source, '{m}' as metric, floor({a} * 1000 / greatest({b}, 1)) as v, cast({least} as double) as least from b where not base_failed" for m, (a, b, least) in _FENCE.items())
 
 

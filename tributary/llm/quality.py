@@ -29,8 +29,8 @@ BROADCAST_ROWS = 100_000
 #: name: (numerator, denominator), in thousandths, and the least distance of the fence from the median.
 METRICS = {
     "symbols": ("n_symbols", "word_chars", 30),
-    "dup_lines": ("n_dup_lines", "n_lines", 300),
-    "repeats": ("n_repeat_words", "n_words", 250),
+    "dup_lines": ("n_dup_lines", "n_lines", 500),
+    "repeats": ("n_repeat_words", "n_words", 400),
     "word_length": ("word_chars", "n_words", 2500),
 }
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

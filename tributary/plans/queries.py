@@ -287,7 +287,9 @@ def shortest_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(path),)], "nodes int")
 
 
-@query("collapsed_siblings")
+@query("collapsed_siblings", over(B, "r(node, col) as (select unique_id, 0 from nodes where unique_id not in (select child from edges) union select e.child, r.col + 1 from r join edges e on e.parent = r.node)", """lv as (select node, max(col) as col from r group by 1),
+dp as (select child, parent, row_number() over (partition by child order by col desc, parent) as rn from edges join lv on node = parent),
+rk as (select child, parent as anchor, row_number() over (partition by parent order by child) as rk, count(*) over (partition by parent) as sz from dp where rn = 1)""", query="select unique_id, case when sz > 8 and rk > 8 then '+' || (sz - 8) || ' of ' || anchor end as marker from nodes left join rk on child = unique_id"))
 def collapsed_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = layered(spark, sf_dir)
     return traverse.collapse_siblings(b.nodes, b.edges, 8)[0]

@@ -6,7 +6,7 @@ moves few of them. Chunks with at least two lines that aren't blank are looked u
 the first place of the smallest doc_id stays, and any other is removed after its bytes were compared with that one's.
 
 Only digests are grouped; the texts of repeated chunks are fetched afterwards and compared in joins, whose hot keys
-Spark can split. A document's list of repeated chunks is as long as the document at most.
+Spark can split. Documents without repeated chunks are told by a bitmap and never shuffled. A document's list of repeated chunks is as long as the document at most.
 
 Defined results: a null text stays null; an empty text is one blank line; rows with one doc_id count as one document in
 what stays, so repeated rows keep what their document keeps; a null doc_id comes after all others and its first places stay only
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, let, materialize, pick, unpack_row, with_row
+from tributary.llm.common import ROW, let, materialize, pick, unpack_row, with_marks, with_row
 
 SPAN = 3
 DIVISOR = 4
@@ -72,9 +72,12 @@ def _removals(base: DataFrame) -> DataFrame:
     base = base.withColumn("v", F.xxhash64("text"))
     cut = base.select("doc_id", "v", F.posexplode(chunks(F.col("text"))).alias("k", "chunk")).where(_repeatable(F.col("chunk")))
     keys = materialize(cut.select("doc_id", "v", "k", F.unhex(F.md5(F.encode(_joined(F.col("chunk")), "UTF-8"))).alias("key")), "chunk-keys")
-    ids = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
+    # written first, so that both sides of the join are dealt anew and Spark can split a hot key
+    ids = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "chunk-ids")
     found = keys.join(ids, "key")
     own = found.groupBy("doc_id", "v").agg(F.array_sort(F.collect_list(F.struct("k", "key", "first"))).alias("found"))
+    own = materialize(own, "chunk-found")
+    base = with_marks(base, "doc_id", own.select("doc_id")).where("_maybe").drop("_maybe")
     # texts of the repeated chunks, and of each the first place in its document
     on = base["doc_id"].eqNullSafe(own["doc_id"]) & (base["v"] == own["v"])
     fetched = base.join(own, on).select(base["doc_id"], base["v"], "text", "found")
@@ -96,14 +99,17 @@ def _removals(base: DataFrame) -> DataFrame:
         ),
     )
     wanted = materialize(wanted.withColumn("stays", F.col("early") & F.col("doc_id").eqNullSafe(F.col("first"))), "chunk-texts")
-    kept = wanted.where("stays").groupBy("key").agg(F.min("text").alias("kept_text"))
+    kept = materialize(wanted.where("stays").groupBy("key").agg(F.min("text").alias("kept_text")), "chunk-kept")
     same = wanted.where("not stays").join(kept, "key").where("text = kept_text")
     return same.groupBy("doc_id", "v").agg(F.collect_set("k").alias("gone"))
 
 
 def _cleaned(rows: DataFrame, gone: DataFrame, *carry: str) -> DataFrame:
     gone = gone.withColumnsRenamed({"doc_id": "of", "v": "of_v"})
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(rows["text"]) == F.col("of_v")), "left")
+    marked = with_marks(rows, "doc_id", gone.select(F.col("of").alias("doc_id")))
+    some, rest = marked.where("_maybe"), marked.where("not _maybe")
+    joined = some.join(gone, some["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(some["text"]) == F.col("of_v")), "left").select(*rows.columns, "gone")
+    joined = joined.unionByName(rest.select(*rows.columns, F.lit(None).cast("array<int>").alias("gone")))
     parts = let(
         F.struct(chunks(F.col("text")).alias("c"), F.col("gone").alias("g")),
         lambda y: F.filter(y["c"], lambda c, i: ~F.array_contains(y["g"], i)),

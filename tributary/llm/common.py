@@ -91,7 +91,9 @@ def with_marks(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     exact join with ``ids``, so their texts needn't be shuffled for it.
     """
     h = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    marks = ids.select(F.bitmap_bucket_number(h).alias("_b"), F.bitmap_bit_position(h).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    # dealt by bitmap before it is built: else every task would send a 4 KiB bitmap for each of its few ids
+    places = ids.select(F.bitmap_bucket_number(h).alias("_b"), F.bitmap_bit_position(h).alias("_p")).distinct().repartition("_b")
+    marks = places.groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
     at = F.bitmap_bit_position(h)
     byte = F.conv(F.hex(F.substring(F.col("_m"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1

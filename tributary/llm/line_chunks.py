@@ -74,13 +74,14 @@ def _removals(base: DataFrame) -> DataFrame:
     keys = materialize(cut.select("doc_id", "v", "k", F.unhex(F.md5(F.encode(_joined(F.col("chunk")), "UTF-8"))).alias("key")), "chunk-keys")
     # written first, so that both sides of the join are dealt anew and Spark can split a hot key
     ids = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "chunk-ids")
-    found = keys.join(ids, "key")
+    # lists of keys and ids grow with the data, so they are merged, not broadcast, at every size
+    found = keys.join(ids.hint("merge"), "key")
     own = found.groupBy("doc_id", "v").agg(F.array_sort(F.collect_list(F.struct("k", "key", "first"))).alias("found"))
     own = materialize(own, "chunk-found")
     base = with_marks(base, "doc_id", own.select("doc_id")).where("_maybe").drop("_maybe")
     # texts of the repeated chunks, and of each the first place in its document
     on = base["doc_id"].eqNullSafe(own["doc_id"]) & (base["v"] == own["v"])
-    fetched = base.join(own, on).select(base["doc_id"], base["v"], "text", "found")
+    fetched = base.join(own.hint("merge"), on).select(base["doc_id"], base["v"], "text", "found")
     wanted = fetched.select(
         "doc_id",
         "v",
@@ -100,7 +101,7 @@ def _removals(base: DataFrame) -> DataFrame:
     )
     wanted = materialize(wanted.withColumn("stays", F.col("early") & F.col("doc_id").eqNullSafe(F.col("first"))), "chunk-texts")
     kept = materialize(wanted.where("stays").groupBy("key").agg(F.min("text").alias("kept_text")), "chunk-kept")
-    same = wanted.where("not stays").join(kept, "key").where("text = kept_text")
+    same = wanted.where("not stays").join(kept.hint("merge"), "key").where("text = kept_text")
     return same.groupBy("doc_id", "v").agg(F.collect_set("k").alias("gone"))
 
 
@@ -108,7 +109,7 @@ def _cleaned(rows: DataFrame, gone: DataFrame, *carry: str) -> DataFrame:
     gone = gone.withColumnsRenamed({"doc_id": "of", "v": "of_v"})
     marked = with_marks(rows, "doc_id", gone.select(F.col("of").alias("doc_id")))
     some, rest = marked.where("_maybe"), marked.where("not _maybe")
-    joined = some.join(gone, some["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(some["text"]) == F.col("of_v")), "left").select(*rows.columns, "gone")
+    joined = some.join(gone.hint("merge"), some["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(some["text"]) == F.col("of_v")), "left").select(*rows.columns, "gone")
     joined = joined.unionByName(rest.select(*rows.columns, F.lit(None).cast("array<int>").alias("gone")))
     parts = let(
         F.struct(chunks(F.col("text")).alias("c"), F.col("gone").alias("g")),

@@ -212,14 +212,15 @@ def _classes_and_links(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     classes = materialize(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "near-classes")
     known = classes.where("node is not null").select("node", "n", "sig")
     buckets = known.mapInArrow(_buckets, "bucket long, band int, node long")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    # aggregates are written before they are joined: then both sides are dealt anew, and Spark can split a hot bucket
+    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "near-shared")
     members = materialize(buckets.join(shared, "bucket"), "near-members")
     fellows = members.groupBy("node").agg(F.sum("members").alias("fellows"))
     centre = (
         members.join(fellows, "node").groupBy("bucket").agg(F.max(F.struct("fellows", (-F.col("node")).alias("minus"))).alias("best"))
         .select("bucket", (-F.col("best.minus")).alias("centre"))
     )
-    centred = materialize(members.join(centre, "bucket"), "near-centred")
+    centred = materialize(members.join(materialize(centre, "near-centres"), "bucket"), "near-centred")
     stars = _ordered(centred.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))).distinct()
     one = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     sized = stars.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
@@ -229,13 +230,24 @@ def _classes_and_links(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     sets = materialize(texts.mapInArrow(_full_sets, "node long, name binary, shingles binary").groupBy("node", "name").agg(F.any_value("shingles").alias("shingles")), "near-sets")
     first = materialize(_links(alike, sets), "near-links")
     found = components(first)
-    # buckets whose members are in several components are worked off whole
+    # In buckets whose members are in several components, those outside the centre's component ("strays") meet all
+    # others but the centre, in blocks; so one stray costs a large bucket one pass, not its square.
     placed = centred.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least < most and size > 2")
-    left = placed.where("node <> centre").join(split.select("bucket", "size"), "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.join(known, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.bool_or(F.col("node") == F.col("centre")).alias("central"))
+    split = materialize(
+        parts.groupBy("bucket").agg(
+            F.sum(F.when(F.col("central"), 0).otherwise(F.col("size"))).alias("strays"),
+            (F.sum(F.when(F.col("central"), F.col("size")).otherwise(0)) - 1).alias("others"),
+            F.max(F.when(F.col("central"), F.col("component"))).alias("home"),
+        ).where("strays > 0 and strays + others > 1"),
+        "near-split",
+    )
+    left = placed.where("node <> centre").join(split, "bucket")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    stray, h = F.col("component") != F.col("home"), F.xxhash64("node")
+    own = F.when(stray, F.pmod(h, blocks("strays"))).otherwise(-1 - F.pmod(h, F.greatest(blocks("others"), F.lit(1)))).cast("int")
+    left = left.withColumn("block", own).withColumn("from", F.when(stray, -blocks("others")).otherwise(0))
+    left = left.join(known, "node").withColumn("other", F.explode(F.sequence("from", blocks("strays") - 1)))
     dealt = left.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "band", "n", "component", "sig")
     keys = ["bucket", "lo", "hi"]
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))

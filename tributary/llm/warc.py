@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import fresh_path, pick
+from tributary.llm.common import fresh_path, materialize, pick
 
 VERSION = b"WARC/1.1\r\n"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
@@ -75,7 +75,8 @@ def write_archives(pages: DataFrame, path: str, when: str = "2024-01-01T00:00:00
     """Archives of all ``pages`` (page_id, url, html) as files below ``path``, one for each partition."""
     base = pick(pages, page_id="long", url="string", html="string")
     base = base.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    firsts = base.groupBy("digest").agg(F.min("page_id").alias("first"))
+    # written first, so that both sides of the join are dealt anew and Spark can split a hot payload
+    firsts = materialize(base.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-firsts")
     labelled = base.join(firsts, "digest").select("page_id", "url", "html", "first")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,3 +220,13 @@ def test_sketches_merge(spark, sf):
     whole = {tuple(r) for r in quality.merged(quality.sketches(measured)).collect()}
     halves = quality.sketches(measured.where("doc_id % 2 = 0")).unionByName(quality.sketches(measured.where("doc_id % 2 = 1")))
     assert {tuple(r) for r in quality.merged(halves).collect()} == whole
+
+
+@pytest.mark.parametrize("share", [8, 12, 30, 50])
+def test_fences_of_a_source_with_much_junk(spark, share):
+    text = lambda i: " ".join(f"word{(i * 37 + k * k) % 997}" for k in range(60 + i % 20))
+    junk = lambda i: " ".join(w + "#" if k % 2 else w for k, w in enumerate(text(i).split()))
+    rows = [(i, junk(i) if i % 100 < share else text(i), "en", "hot") for i in range(400)]
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"] for r in rows_of(got) if not r["base_failed"] and not r["kept"]} == {i for i in range(400) if i % 100 < share}
+    assert sum(r["kept"] for r in rows_of(got)) == 400 - 4 * share

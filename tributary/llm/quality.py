@@ -4,7 +4,9 @@ Each text gets a few counts (all in one pass, with native expressions). Every me
 summarised by a sketch: counts of logarithmic buckets, in which a quantile is found with a relative error of at most
 ``ACCURACY``. Sketches merge by adding counts, so partial aggregation combines them before the shuffle, a language's
 sketch is the sum of its sources', and the result doesn't depend on the order of rows. From the quantiles come fences
-``high + SPREAD * (high - median)`` that replace fixed cutoffs. A source with fewer than ``MIN_GROUP`` documents that
+``median + SPREAD * (high - median)`` that replace fixed cutoffs. Where more than a tenth of a group is junk, ``high`` is
+junk itself; so the spread to one side counts up to ``SKEW`` times the spread to the other, which junk on one side
+can't widen while it is at most half of the group. A source with fewer than ``MIN_GROUP`` documents that
 pass the base rules uses its language's sketch, a language with fewer the sketch of all. The fences are joined back
 to the documents by language and source and filter them.
 
@@ -24,6 +26,8 @@ from tributary.llm.common import ROW, let, materialize, pick, unpack_row, with_r
 ACCURACY = 0.01
 MIN_GROUP = 100
 SPREAD = 4.0
+#: The spread to one side of the median is at most this many times the one to the other.
+SKEW = 3.0
 #: A thresholds table of more rows than this isn't broadcast.
 BROADCAST_ROWS = 100_000
 #: name: (numerator, denominator), in thousandths, and the least distance of the fence from the median.
@@ -151,10 +155,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
     chosen = lambda n: F.when(big("a"), F.col(f"a.{n}")).when(big("b"), F.col(f"b.{n}")).otherwise(F.col(f"c.{n}")).alias(n)
     q = joined.select("a.lang", "a.source", "a.metric", chosen("low"), chosen("mid"), chosen("high"))
     least = F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, float(v[2]))])[F.col("metric")]
+    up, down = F.col("high") - F.col("mid"), F.col("mid") - F.col("low")
     q = q.select(
         "lang", "source", "metric",
-        (F.col("mid") + F.greatest(least, SPREAD * (F.col("high") - F.col("mid")))).alias("max"),
-        (F.col("mid") - F.greatest(least, SPREAD * (F.col("mid") - F.col("low")))).alias("min"),
+        (F.col("mid") + F.greatest(least, SPREAD * F.least(up, SKEW * down))).alias("max"),
+        (F.col("mid") - F.greatest(least, SPREAD * F.least(down, SKEW * up))).alias("min"),
     )
     return q.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in METRICS for e in ("max", "min")]

@@ -230,3 +230,23 @@ def test_fences_of_a_source_with_much_junk(spark, share):
     got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     assert {r["doc_id"] for r in rows_of(got) if not r["base_failed"] and not r["kept"]} == {i for i in range(400) if i % 100 < share}
     assert sum(r["kept"] for r in rows_of(got)) == 400 - 4 * share
+
+
+def test_whole_copies_keep_to_the_targets(spark):
+    # sizes from 1 to 3,000 words; wanted shares of the sources' words: 0.08, 0.2, 0.7, 1.25
+    size = lambda i: 1 + (i * 7919) % 3000
+    rows = [(1000 * s + i, "w " * size(i), f"s{s}") for s in range(4) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    aims = [0.08, 0.2, 0.7, 1.25]
+    weight = lambda k: aims[k] if k < 4 else 0.0
+    total = sum(size(i) for i in range(600))
+    scale = 4 / sum(aims)
+    out = mixing.mix_rows(docs, weight=weight).select("source", F.length(F.col("text")) / 2).collect()
+    given, long = defaultdict(int), defaultdict(int)
+    for s, n in out:
+        given[int(s[1])] += n
+        long[int(s[1])] += n * (n > 1500)
+    all_long = sum(size(i) for i in range(600) if size(i) > 1500)
+    for s, aim in enumerate(aims):
+        assert abs(given[s] / total - aim * scale) < 0.01, (s, given[s] / total, aim * scale)
+        assert abs(long[s] / all_long - aim * scale) < 0.08, (s, long[s] / all_long, aim * scale)

@@ -3,8 +3,10 @@
 The documents of a source are dealt by hash into shards and laid end to end in seeded order; the words of a shard
 are cut into blocks of ``block_words``. Sources get whole numbers of blocks by the highest quotients
 ``target / (2 k + 1)``, up to ``epochs`` times what they hold; a source's blocks go to its shards by the same rule on
-the shards' sizes. A shard then takes every block ``quota // blocks`` times, and ``quota % blocks`` of them, chosen by
-a seeded permutation, once more. What a document gives is the overlap of its words with the blocks taken.
+the shards' sizes. A shard then takes every block ``quota // blocks`` times, and the first ``quota % blocks`` of the
+seeded order once more. What a document gives is the overlap of its words with the blocks taken. As these are one run
+from the shard's start, all documents but the one at its end are taken whole, so whole copies (``mix_rows``) miss a
+shard's share by half a document at most, whatever the documents' lengths.
 
 The driver sees one row for each source and shard. Shards hold ``shard_rows`` rows, more where the table would
 otherwise need over ``MAX_SHARDS`` of them, so that table is bounded but for the number of sources, which is checked.
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -78,14 +79,6 @@ def apportion(seats: int, votes: list[float], most: list[int]) -> list[int]:
     return out
 
 
-def permutation(blocks: int, draw: random.Random) -> tuple[int, int]:
-    """(a, b) such that ``j -> (a j + b) mod blocks`` permutes the blocks."""
-    a = max(1, draw.randrange(max(1, blocks)))
-    while math.gcd(a, blocks) != 1:
-        a += 1
-    return a, draw.randrange(max(1, blocks))
-
-
 def _taken(sized: DataFrame, weight: Callable[[int], float], block_words: int, epochs: int, seed: int, shard_rows: int) -> DataFrame:
     """``sized`` (source, doc_id, size and others) plus source_size, target, taken."""
     spark = sized.sparkSession
@@ -117,22 +110,12 @@ def _taken(sized: DataFrame, weight: Callable[[int], float], block_words: int, e
         dealt_out = most if full[k] else apportion(quotas[k], [float(own[s]) for s in shards], most)
         for s, quota in zip(shards, dealt_out, strict=True):
             n = max(1, blocks[k][s])
-            a, b = permutation(n, random.Random(f"{seed}:{found[k]['source']!r}:{s}"))
-            plan.append((k, s, n, quota // n, quota % n, a, b))
-    quota = spark.createDataFrame(plan, "k int, shard int, blocks long, times long, extra long, a long, b long")
+            plan.append((k, s, quota // n, quota % n))
+    quota = spark.createDataFrame(plan, "k int, shard int, times long, extra long")
     upto = F.sum("size").over(W.partitionBy("k", "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
     laid = dealt.withColumn("upto", upto).join(F.broadcast(quota), ["k", "shard"])
     start = F.col("upto") - F.col("size")
-    size = F.lit(block_words).cast("long")
-    once_more = F.aggregate(
-        F.sequence(F.floor(start / size), F.floor((F.col("upto") - 1) / size)),
-        F.lit(0).cast("long"),
-        lambda acc, j: acc
-        + F.when(
-            F.pmod(F.col("a") * j + F.col("b"), F.col("blocks")) < F.col("extra"),
-            F.least("upto", (j + 1) * size) - F.greatest(start, j * size),
-        ).otherwise(F.lit(0).cast("long")),
-    )
+    once_more = F.greatest(F.least("upto", F.col("extra") * block_words) - start, F.lit(0).cast("long"))
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("times") * F.col("size") + once_more)
     return laid.select(*[sized[c] for c in sized.columns], "source_size", "target", taken.alias("taken"))
 

@@ -60,6 +60,15 @@ def test_secrets_awkward(spark):
     assert len(secrets.fit_on(table).trees) == secrets.TREES
 
 
+def test_long_secrets_are_candidates_in_full():
+    key = "".join(hashlib.sha512(b"%d" % k).hexdigest() for k in range(13))[:1592]
+    found = lambda text: [(c.value, c.kind) for c in secrets.candidates(text)]
+    assert found(f"private key {key} end") == [(key, "run")]
+    assert found(f"secret: {key}== end") == [(key + "==", "assigned")]
+    assert found(f"see xoxb-{key} end") == [("xoxb-" + key, "shape")]
+    assert found("a" * 1_000_000) == []
+
+
 LICENCE_LINES = [
     (r"This work is licensed under the GNU General Public License, version (\d+)\.", "GPL-{}"),
     (r"Licensed under CC BY-NC (\d+\.\d+)\.", "CC-BY-NC-{}"),

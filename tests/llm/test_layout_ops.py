@@ -250,3 +250,42 @@ def test_whole_copies_keep_to_the_targets(spark):
     for s, aim in enumerate(aims):
         assert abs(given[s] / total - aim * scale) < 0.01, (s, given[s] / total, aim * scale)
         assert abs(long[s] / all_long - aim * scale) < 0.08, (s, long[s] / all_long, aim * scale)
+
+
+def test_salvage_inside_members():
+    texts = [zlib.decompress(warc.member(i, f"u{i}", f"payload {i} " * 50, i, "2024-01-01T00:00:00Z"), 31) for i in range(5)]
+    spoilt = [t.replace(b"payload %d p" % i, b"payload X p", 1) for i, t in enumerate(texts)]
+    for bad in range(5):
+        content = warc.gzip_member(b"".join(spoilt[i] if i == bad else t for i, t in enumerate(texts))) + warc.gzip_member(texts[0])
+        got = list(warc.salvage(content))
+        assert [r["page_id"] for r in got if r["kind"] == "record"] == [i for i in range(5) if i != bad] + [0]
+        lo = sum(map(len, texts[:bad]))
+        assert [r["reason"] for r in got if r["kind"] == "gap"] == [f"digest doesn't hold: bytes {lo} to {lo + len(texts[bad])} of the inflated member"]
+        assert sum(r["bytes"] for r in got) == len(content)
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_of_damaged_members(level):
+    texts = [zlib.decompress(warc.member(i, f"u{i}", " ".join(hashlib.sha1(b"%d %d" % (i, k)).hexdigest() for k in range(3000)), i, "2024-01-01T00:00:00Z"), 31) for i in range(5)]
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    whole = packer.compress(b"".join(texts)) + packer.flush()
+    after = warc.gzip_member(texts[0])
+    for content in (
+        whole[: len(whole) * 7 // 10] + after,  # cut in the fourth record
+        whole[: len(whole) * 7 // 10],
+        whole[:-8] + bytes(4) + whole[-4:] + after,  # the checksum is wrong
+        whole[: len(whole) * 7 // 10] + texts[4] + after,
+    ):
+        got = list(warc.salvage(content))
+        pages = [r["page_id"] for r in got if r["kind"] == "record"]
+        assert pages[:3] == [0, 1, 2] and pages.count(1) == pages.count(2) == 1
+        assert pages.count(0) == 1 + content.endswith(after) and (texts[4] not in content[len(content) // 2 :] or 4 in pages)
+        assert sum(r["bytes"] for r in got) == len(content)
+
+
+def test_records_without_digest():
+    text = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    for content in (text * 2, warc.gzip_member(text * 2)):
+        assert [(r["kind"], r["payload"], r["payload_digest"]) for r in warc.salvage(content)] == [("record", b"body", None)] * 2
+    sha256 = text.replace(b"Content-Length", b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"body").hexdigest().encode() + b"\r\nContent-Length")
+    assert [r["kind"] for r in warc.salvage(sha256 + sha256.replace(b"body\r", b"bodx\r"))] == ["record", "gap"]

@@ -8,7 +8,10 @@ empty one, whose length field is zero.
 
 ``read_archives`` reads members one after another, and also plain WARC text. Where a member or a record's header,
 length or digest doesn't hold, the reader looks for the next place at which a valid member or a version line starts,
-goes on there, and reports the bytes in between as a row of kind ``gap``.
+goes on there, and reports the bytes in between as a row of kind ``gap``. It does the same inside a member of several
+records: a gap between them has the member's start, no bytes of its own, and its place in the inflated text as part of
+its reason. Of a member whose checks don't hold, the records before the damage are kept if more text follows them;
+they have no bytes of their own either, as the member's bytes are the gap's. A digest is checked where there is one.
 
 Defined results: null html is an empty payload, null url an absent header; rows with a null page_id are responses and
 nothing refers to them; repeated rows of the smallest page_id are all responses; an empty table gives no records;
@@ -21,6 +24,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,19 +94,38 @@ def write_archives(pages: DataFrame, path: str, when: str = "2024-01-01T00:00:00
     packed.write.option("lineSep", "\x00").text(path)
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """Contents and end of the gzip member at ``at``; None unless it is whole and its checks hold."""
-    unpack, out = zlib.decompressobj(31), []
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """Contents and end of the gzip member at ``at``, and whether it is whole and its checks hold; if not, what could
+    be inflated and where that ended."""
+    unpack, out, start = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
             if at >= len(data):
-                return None
+                return b"".join(out), at, False
             piece = data[at : at + _STEP]
             out.append(unpack.decompress(piece))
             at += len(piece) - len(unpack.unused_data)
     except zlib.error:
-        return None
-    return b"".join(out), at
+        # the failing piece gave nothing: once more to its start, then byte by byte up to the error
+        unpack = zlib.decompressobj(31)
+        for k in range(start, at, _STEP):
+            unpack.decompress(data[k : k + _STEP])
+        try:
+            while True:
+                out.append(unpack.decompress(data[at : at + 1]))
+                at += 1
+        except zlib.error:
+            return b"".join(out), at, False
+    return b"".join(out), at, True
+
+
+def _digest_holds(digest: str, payload: bytes) -> bool:
+    """``algorithm:value`` in base 32 or 16, or a bare SHA-1; one by an unknown algorithm can't be checked and holds."""
+    algorithm, _, value = digest.rpartition(":")
+    if (algorithm := algorithm.lower() or "sha1") not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    found = hashlib.new(algorithm, payload)
+    return value.rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=") or value.lower() == found.hexdigest()
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, int] | str:
@@ -122,52 +145,82 @@ def _parse(data: bytes, at: int) -> tuple[dict, int] | str:
     if data[end : end + 4] != b"\r\n\r\n":
         return "length doesn't hold"
     payload, kind = data[body:end], head.get("warc-type", "")
-    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
+    digest = head.get("warc-payload-digest")
+    if kind == "response" and digest and not _digest_holds(digest, payload):
         return "digest doesn't hold"
     page, to = (re.fullmatch(r"<urn:page:(-?\d+)>", head.get(n, "")) for n in ("warc-record-id", "warc-refers-to"))
     full = head.get("warc-payload-length", length)
     return {
-        "url": head.get("warc-target-uri"), "record_type": kind, "payload_digest": digest,
+        "url": head.get("warc-target-uri"), "record_type": kind, "payload_digest": digest and digest.removeprefix("sha1:"),
         "payload_bytes": int(full) if full.isdecimal() else int(length), "page_id": int(page[1]) if page else None,
         "refers_to": int(to[1]) if to else None, "payload": payload,
     }, end + 4
 
 
+def _resynced(plain: bytes) -> tuple[list[tuple[int, int, dict | str]], str]:
+    """(start, end, record or reason of a gap) over the text of a member, without a hole; and the first reason."""
+    out, pos, bad, why, first = [], 0, None, "", ""
+    while pos < len(plain):
+        if isinstance(r := _parse(plain, pos), str):
+            if bad is None:
+                bad, why = pos, r
+                first = first or r
+            line = _VERSION_LINE.search(plain, pos + 1)
+            pos = line.start() if line else len(plain)
+            continue
+        if bad is not None:
+            out.append((bad, pos, why))
+            bad = None
+        out.append((pos, r[1], r[0]))
+        pos = r[1]
+    return out + ([(bad, len(plain), why)] if bad is not None else []), first
+
+
 def salvage(content: bytes) -> Iterator[dict]:
     """Records and gaps of an archive in the order of their bytes, which they cover without a hole."""
     view, at, bad, why = memoryview(content), 0, None, ""
+    # records kept from damaged members, which the raw bytes up to ``until`` may show again if they aren't compressed
+    kept: Counter[bytes] = Counter()
+    until = 0
 
     def gap(start: int, end: int) -> dict:
         return {"kind": "gap", "start": start, "bytes": end - start, "reason": why}
 
     while at < len(content):
-        found, end, problem = [], at, ""
+        parts, end, problem, whole = [], at, "", True
         if content.startswith(_GZIP, at):
-            if got := _inflate(view, at):
-                plain, end = got
-                pos = 0
-                while pos < len(plain):
-                    if isinstance(r := _parse(plain, pos), str):
-                        problem = r
-                        break
-                    found.append(r[0])
-                    pos = r[1]
-                problem = problem if pos < len(plain) else ""
-            else:
+            plain, end, whole = _inflate(view, at)
+            parts, problem = _resynced(plain)
+            if not whole:
                 problem = "member is damaged"
+                # nothing vouches for a record that ends with the text, and what follows the last record is the gap's
+                while parts and (isinstance(parts[-1][2], str) or parts[-1][1] == len(plain)):
+                    parts.pop()
         elif isinstance(r := _parse(content, at), str):
             problem = r
+        elif at < until and kept[shown := hashlib.sha1(view[at : r[1]]).digest()]:
+            kept[shown] -= 1
+            at = r[1]
+            continue
         else:
-            found, end = [r[0]], r[1]
-        if found or (end > at and not problem):
+            parts, end = [(at, r[1], r[0])], r[1]
+        records = any(not isinstance(p[2], str) for p in parts)
+        if records or (end > at and not problem):
             if bad is not None:
                 yield gap(bad, at)
                 bad = None
-            for k, record in enumerate(found):
-                yield {"kind": "record", "start": at, "bytes": end - at if k == 0 else 0, "reason": problem or None, **record}
-            at = end
-            continue
+            size = end - at if whole else 0
+            for lo, hi, record in parts:
+                if isinstance(record, str):
+                    yield {"kind": "gap", "start": at, "bytes": 0, "reason": f"{record}: bytes {lo} to {hi} of the inflated member"}
+                    continue
+                yield {"kind": "record", "start": at, "bytes": size, "reason": None if whole else problem, **record}
+                size = 0
+            if whole:
+                at = end
+                continue
+            kept.update(hashlib.sha1(plain[lo:hi]).digest() for lo, hi, record in parts if not isinstance(record, str))
+            until = max(until, end)
         if bad is None:
             bad, why = at, problem
         line = _VERSION_LINE.search(content, at + 1)

@@ -17,11 +17,14 @@ ROW = "_row"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a temporary folder is
-    made and written into the setting, so later calls agree.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the session is local (tests) a temporary
+    folder is made and written into the setting, so later calls agree; on a cluster such a folder would be private to
+    each machine, so the call fails.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,7 +38,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``tables``, once nothing that is still to run reads it."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,17 +92,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Bits of the marks below: 4 MiB in all, whatever the number of ids.
-MARK_BITS = 1 << 25
+#: Bits of the marks below: 16 for each id, within these bounds (4 KiB to 32 MiB).
+MARK_BITS = (1 << 15, 1 << 28)
 
 
 def with_marks(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``df`` plus ``_maybe``: false only where ``key`` isn't in ``ids`` (a column of the same name).
+    """``df`` plus ``_maybe``: false only where ``key`` isn't in ``ids`` (a written table's column of the same name).
 
-    One bit for each hash of an id, in at most 1,024 bitmaps of 4 KiB, is broadcast. Rows that aren't marked need no
-    exact join with ``ids``, so their texts needn't be shuffled for it.
+    One bit for each hash of an id, in bitmaps of 4 KiB, is broadcast; their size follows the number of ids up to
+    32 MiB in all. Rows that aren't marked need no exact join with ``ids``, so their texts needn't be shuffled for it.
+    Where ids are more than half of the greatest number of bits, marks would tell little: all rows are marked.
     """
-    h = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    n, (least, most) = ids.count(), MARK_BITS
+    if 2 * n > most:
+        return df.withColumn("_maybe", F.lit(True))
+    bits = min(most, max(least, 1 << (16 * n).bit_length()))
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
     # dealt by bitmap before it is built: else every task would send a 4 KiB bitmap for each of its few ids
     places = ids.select(F.bitmap_bucket_number(h).alias("_b"), F.bitmap_bit_position(h).alias("_p")).distinct().repartition("_b")
     marks = places.groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))

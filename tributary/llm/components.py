@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import materialize
+from tributary.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -27,7 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
         nexts = hooked.join(jump, "to").select("node", F.least("to", "beyond").alias("component"), (F.least("to", "beyond") < F.col("component")).alias("changed"))
         nexts = materialize(nexts, "cc-labels")
+        discard(labels)
         if nexts.where("changed").isEmpty():
+            discard(both)
             return nexts.select("node", "component")
-        labels = nexts.select("node", "component")
+        labels = nexts
     raise RuntimeError(f"components still change after {rounds} rounds")

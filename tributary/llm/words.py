@@ -12,7 +12,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes that are hashed at a time; a longer text is hashed as a whole.
+#: Bytes that are hashed at a time; a longer text is cut between words, so only a longer word is hashed as a whole.
 STEP = 1 << 21
 
 
@@ -56,11 +56,17 @@ _powers: list[np.ndarray] = [np.empty(0, U64), np.empty(0, U64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(max(n + 1, STEP + 1), base, U64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=U64)
+    """Powers 0 to n at least; those up to ``STEP`` are kept."""
+
+    def table(base: int, size: int) -> np.ndarray:
+        out = np.full(size, base, U64)
+        out[0] = 1
+        return np.cumprod(out, dtype=U64)
+
+    if n > STEP:
+        return table(_BASE, n + 1), table(_INVERSE, n + 1)
+    if not len(_powers[0]):
+        _powers[:] = [table(_BASE, STEP + 1), table(_INVERSE, STEP + 1)]
     return _powers[0], _powers[1]
 
 
@@ -87,6 +93,24 @@ def _hash_words(data: np.ndarray, text_starts: np.ndarray, inside: np.ndarray) -
     return mix((sums[e] - sums[s]) * down[s]), np.searchsorted(s, text_starts)
 
 
+def _long_text(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Word hashes of one text of more than ``STEP`` bytes, piece by piece."""
+    lower, _ = _tables()
+    out, at, n = [], 0, len(data)
+    while at < n:
+        upto = min(at + STEP, n)
+        if upto < n:
+            gaps = np.flatnonzero(~inside[lower[data[at:upto]]])
+            if len(gaps):
+                upto = at + int(gaps[-1]) + 1
+            while upto < n and not len(gaps):  # a word goes on: to its end
+                gaps = np.flatnonzero(~inside[lower[data[upto : upto + STEP]]])
+                upto = upto + int(gaps[0]) + 1 if len(gaps) else min(upto + STEP, n)
+        out.append(_hash_words(data[at:upto], np.array([0, upto - at]), inside)[0])
+        at = upto
+    return np.concatenate(out)
+
+
 def hashed(texts: pa.Array, inside: np.ndarray) -> Iterator[Words]:
     """Words of all texts of a string array, some ``STEP`` bytes at a time; null has no words."""
     if isinstance(texts, pa.ChunkedArray):
@@ -102,7 +126,11 @@ def hashed(texts: pa.Array, inside: np.ndarray) -> Iterator[Words]:
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, "right")) - 1)
         piece = data[offsets[at] : offsets[upto]]
-        hashes, starts = _hash_words(piece, offsets[at : upto + 1] - offsets[at], inside)
+        if len(piece) > STEP:
+            hashes = _long_text(piece, inside)
+            starts = np.array([0, len(hashes)])
+        else:
+            hashes, starts = _hash_words(piece, offsets[at : upto + 1] - offsets[at], inside)
         yield Words(at, hashes, starts)
         at = upto
 

@@ -232,6 +232,28 @@ def test_fences_of_a_source_with_much_junk(spark, share):
     assert sum(r["kept"] for r in rows_of(got)) == 400 - 4 * share
 
 
+def test_every_metric_can_reject_and_fences_follow_the_data(spark):
+    vary = lambda i: " ".join(f"w{'x' * ((i + k) % 5)}{(i * 37 + k * k) % 997}" for k in range(60 + i % 20))
+    rows = [(i, vary(i), "en", f"s{i % 4}") for i in range(400)]
+    line = lambda i: f"u{i} vwx{i} yz{i} abc{i}"
+    rows += [
+        (1001, vary(1001) + " #$%" * 20, "en", "s1"),
+        (1002, "\n".join([line(i) for i in range(60)] + [f"same{k} {k}" for k in range(9)] * 2), "en", "s1"),
+        (1003, vary(1003) + " " + " ".join(f"q{i}" for i in range(12)) + " middle " + " ".join(f"q{i}" for i in range(12)), "en", "s1"),
+        (1004, " ".join("y" * 30 + str(i) for i in range(60)), "en", "s1"),
+        (1005, " ".join("z" * (i % 2 + 1) for i in range(1)) + " " + " ".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(60)), "en", "s1"),
+    ]
+    base = quality.pick(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), doc_id="long", text="string", lang="string", source="string")
+    measured = quality._measured(base).cache()
+    fences = {r["source"]: r for r in quality.thresholds(measured).collect()}
+    judged = measured.join(quality.thresholds(measured), ["lang", "source"]).where("not base_failed")
+    out = {m: {r["doc_id"] for r in judged.where(quality._beyond(m)).collect()} for m in quality.METRICS}
+    assert out["symbols"] == {1001} and 1002 in out["dup_lines"] and 1003 in out["repeats"] and {1004, 1005} <= out["word_length"]
+    wide = spark.createDataFrame([(i, vary(i) + " " + "long" * (i % 40), "en", f"s{i % 4}") for i in range(400)], "doc_id long, text string, lang string, source string")
+    other = {r["source"]: r for r in quality.thresholds(quality._measured(quality.pick(wide, doc_id="long", text="string", lang="string", source="string"))).collect()}
+    assert all(other[s]["max_word_length"] > fences[s]["max_word_length"] + 1 for s in fences)
+
+
 def test_whole_copies_keep_to_the_targets(spark):
     # sizes from 1 to 3,000 words; wanted shares of the sources' words: 0.08, 0.2, 0.7, 1.25
     size = lambda i: 1 + (i * 7919) % 3000

@@ -3,15 +3,15 @@
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LINE_CHUNKS = r"""with l as (select doc_id, string_split(text, chr(10)) as lines from documents),
-h as (select doc_id, lines, list_transform(lines, lambda x: cast('0x' || substr(md5(x), 1, 7) as bigint)) as h, len(lines) as n from l),
-e as (select doc_id, lines, n, list_filter(range(1, n + 1), lambda i: i = n or (i >= 3 and ((h[i - 2] * 16381 + h[i - 1]) * 16381 + h[i]) % 2147483647 % 4 = 0)) as ends from h),
-c as (select doc_id, n, unnest(range(1, len(ends) + 1)) as k, lines, ends from e),
-ch as (select doc_id, n, k, lines[(case when k = 1 then 1 else ends[k - 1] + 1 end):ends[k]] as part from c),
-t as (select *, array_to_string(part, chr(10)) as body, len(list_filter(part, lambda x: regexp_matches(x, '[^ \t\x0b\f\r]'))) >= 2 as fit from ch),
-f as (select body, count(*) as cnt, min(doc_id) as first from t where fit group by 1),
-g as (select t.*, coalesce(f.cnt > 1 and not (t.doc_id = f.first and t.k = min(t.k) over (partition by t.doc_id, t.body, t.fit)), false) as gone from t left join f on t.fit and f.body = t.body)
-select doc_id, any_value(n) as n_lines, count(*) filter (gone) as chunks_removed, cast(coalesce(sum(len(part)) filter (gone), 0) as bigint) as lines_removed,
- md5(coalesce(string_agg(body, chr(10) order by k) filter (not gone), '')) as clean_md5 from g group by doc_id"""
+u as (select doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as i from l),
+f as (select doc_id, i, lead(i) over (partition by doc_id order by i) as j from u where regexp_matches(line, '[^ \t\x0b\f\r]')),
+w as (select f.doc_id, i, j, array_to_string(lines[i:j], chr(10)) as body from f join l using (doc_id) where j is not null),
+g as (select doc_id, i, j from w qualify row_number() over (partition by body order by doc_id, i) > 1),
+x as (select distinct doc_id, unnest(range(i, j + 1)) as i from g),
+r as (select doc_id, count(*) as n, count(*) filter (prev is null or i - prev > 1) as chunks from (select doc_id, i, lag(i) over (partition by doc_id order by i) as prev from x) group by 1)
+select l.doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, coalesce(r.chunks, 0) as chunks_removed, coalesce(r.n, 0) as lines_removed,
+ md5(case when r.n is null then array_to_string(lines, chr(10)) else coalesce(k.t, '') end) as clean_md5
+ from l left join r using (doc_id) left join (select u.doc_id, string_agg(line, chr(10) order by u.i) as t from u left join x on x.doc_id = u.doc_id and x.i = u.i where x.i is null group by 1) k using (doc_id)"""
 
 NEAR_DUPLICATES = rf"""with recursive w as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
@@ -23,11 +23,11 @@ r(d, c) as (select a, a from e union select e.b, r.c from r join e on e.a = r.d)
 select s.doc_id, cast(len(s) as bigint) as n_shingles, coalesce(m.c, s.doc_id) as component_id, coalesce(m.c, s.doc_id) = s.doc_id as kept
 from s left join (select d, min(c) as c from r group by d) m on m.d = s.doc_id"""
 
-_FENCE = {"symbols": ("n_symbols", "word_chars", 30), "dup_lines": ("n_dup_lines", "n_lines", 500), "repeats": ("n_repeat_words", "n_words", 400), "word_length": ("word_chars", "n_words", 2500)}
-_VALUES = "\n union all ".join(f"select doc_id, lang, source, '{m}' as metric, floor({a} * 1000 / greatest({b}, 1)) as v, cast({least} as double) as least from b where not base_failed" for m, (a, b, least) in _FENCE.items())
+_FENCE = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+_VALUES = "\n union all ".join(f"select doc_id, lang, source, '{m}' as metric, floor({a} * 1000 / greatest({b}, 1)) as v, {a} as top, {b} as bottom from b where not base_failed" for m, (a, b) in _FENCE.items())
 
 
-def _quantile(q: float) -> str:
+def _quantile(q: str) -> str:
     return f"coalesce(min(case when bucket = 0 then 0 else round(2 * pow(gamma, bucket - 1) / (1 + gamma), 3) end) filter (run >= ceil(total * {q})), 0)"
 
 
@@ -36,7 +36,13 @@ def _level(keys: str) -> str:
     group = f"{keys}, metric" if keys else "metric"
     inner = f"select {group}, bucket, any_value(gamma) as gamma, sum(n) as n from k group by {group}, bucket"
     cum = f"select *, sum(n) over ({by} order by bucket) as run, sum(n) over ({by}) as total from ({inner})"
-    return f"select {group}, any_value(total) as total, {_quantile(0.1)} as low, {_quantile(0.5)} as mid, {_quantile(0.9)} as high from ({cum}) group by {group}"
+    low, high = ("(case metric when 'word_length' then {} else {} end)".format(*q) for q in ((0.25, 0.1), (0.75, 0.9)))
+    inner = f"select {group}, any_value(total) as total, {_quantile(low)} as low, {_quantile('0.5')} as mid, {_quantile(high)} as high from ({cum}) group by {group}"
+    return f"select {group}, total, mid, round(high - mid, 3) as up, round(mid - low, 3) as down from ({inner})"
+
+
+def _chosen(n: str) -> str:
+    return f"case when a.total >= 100 then a.{n} when b.total >= 100 then b.{n} else c.{n} end as {n}"
 
 
 QUALITY = rf"""with t as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
@@ -49,11 +55,13 @@ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 v as ({_VALUES}),
 k as (select lang, source, metric, case when v <= 0 then 0 else ceil(round(ln(v) / ln(1.01 / 0.99), 6)) + 1 end as bucket, cast(1.01 as double) / cast(0.99 as double) as gamma, count(*) as n from v group by 1, 2, 3, 4),
 q0 as ({_level("lang, source")}), q1 as ({_level("lang")}), q2 as ({_level("")}),
-q as (select a.lang, a.source, a.metric, case when a.total >= 100 then a.low when b.total >= 100 then b.low else c.low end as low,
- case when a.total >= 100 then a.mid when b.total >= 100 then b.mid else c.mid end as mid, case when a.total >= 100 then a.high when b.total >= 100 then b.high else c.high end as high
- from q0 a join q1 b on a.lang is not distinct from b.lang and a.metric = b.metric join q2 c on a.metric = c.metric),
-bad as (select distinct v.doc_id from v join q on v.lang is not distinct from q.lang and v.source is not distinct from q.source and v.metric = q.metric
- where v.v > mid + greatest(least, 4 * (high - mid)) or v.v < mid - greatest(least, 4 * (mid - low)))
+votes as (select metric, count(*) as voters, quantile_disc(up, 0.5) as up, quantile_disc(down, 0.5) as down from q0 where total >= 20 group by 1),
+q as (select a.lang, a.source, a.metric, {_chosen("mid")}, {_chosen("up")}, {_chosen("down")}, a.total >= 100 as own, v.voters, v.up as all_up, v.down as all_down
+ from q0 a join q1 b on a.lang is not distinct from b.lang and a.metric = b.metric join q2 c on a.metric = c.metric left join votes v on v.metric = a.metric),
+fence as (select lang, source, metric, mid + 8 * least(up, 3 * case when voters >= 3 then all_up when own then down end) as hi, mid - 8 * least(down, 3 * case when voters >= 3 then all_down when own then up end) as lo from q),
+out_of as (select v.*, hi, lo, greatest(hi, 0) * bottom / 1000 as e_hi, greatest(lo, 0) * bottom / 1000 as e_lo from v join fence q on v.lang is not distinct from q.lang and v.source is not distinct from q.source and v.metric = q.metric),
+bad as (select distinct doc_id from out_of where case when metric = 'word_length' then v > hi * (1 + 2 * cast(0.01 as double)) or v < lo * (1 - 2 * cast(0.01 as double))
+ else top > e_hi + 5 * sqrt(e_hi + 1) or top < e_lo - 5 * sqrt(e_lo + 1) end)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from bad) as kept from b"""
 
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

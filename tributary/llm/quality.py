@@ -3,12 +3,18 @@
 Each text gets a few counts (all in one pass, with native expressions). Every metric of every language and source is
 summarised by a sketch: counts of logarithmic buckets, in which a quantile is found with a relative error of at most
 ``ACCURACY``. Sketches merge by adding counts, so partial aggregation combines them before the shuffle, a language's
-sketch is the sum of its sources', and the result doesn't depend on the order of rows. From the quantiles come fences
-``median + SPREAD * (high - median)`` that replace fixed cutoffs. Where more than a tenth of a group is junk, ``high`` is
-junk itself; so the spread to one side counts up to ``SKEW`` times the spread to the other, which junk on one side
-can't widen while it is at most half of the group. A source with fewer than ``MIN_GROUP`` documents that
-pass the base rules uses its language's sketch, a language with fewer the sketch of all. The fences are joined back
-to the documents by language and source and filter them.
+sketch is the sum of its sources', and the result doesn't depend on the order of rows. A source with fewer than
+``MIN_GROUP`` documents that pass the base rules uses its language's sketch, a language with fewer the sketch of all.
+
+The fences come from the sketches alone: ``median + SPREAD * (high - median)`` and the same downwards, where high and
+low are the quantiles that ``METRICS`` names. Where more junk than that is in a group, its high quantile is junk itself.
+So the groups vote: no spread counts for more than ``SKEW`` times the median spread of all groups of a language and source
+with ``MIN_VOTE`` documents. With fewer than three such groups a group's own spread counts up to ``SKEW`` times the one to the
+other side, which junk on one side can't widen while it is at most half of the group; a merged sketch's counts in full.
+
+Three metrics are rates of counts, and most texts have none of what they count, so that a fence may well be 0. A document
+is judged by its count: it fails above what the fence's rate leads to expect, by more than ``ERRORS`` standard errors of such
+a count (of a Poisson variable, plus one). The mean word length is compared with its fences but for the sketch's own error.
 
 Defined results: null texts count as empty and fail the base rules; a null language or source is a group of its own;
 repeated rows each get a row; an empty table gives no rows; further columns are ignored or returned untouched.
@@ -24,19 +30,19 @@ from pyspark.sql import functions as F
 from tributary.llm.common import ROW, let, materialize, pick, unpack_row, with_row
 
 ACCURACY = 0.01
-MIN_GROUP = 100
-SPREAD = 4.0
-#: The spread to one side of the median is at most this many times the one to the other.
-SKEW = 3.0
+MIN_GROUP, MIN_VOTE = 100, 20
+SPREAD, SKEW, ERRORS = 8.0, 3.0, 5.0
 #: A thresholds table of more rows than this isn't broadcast.
 BROADCAST_ROWS = 100_000
-#: name: (numerator, denominator), in thousandths, and the least distance of the fence from the median.
+#: name: numerator and denominator (in thousandths), and the quantiles that tell the spread.
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 30),
-    "dup_lines": ("n_dup_lines", "n_lines", 500),
-    "repeats": ("n_repeat_words", "n_words", 400),
-    "word_length": ("word_chars", "n_words", 2500),
+    "symbols": ("n_symbols", "word_chars", 0.1, 0.9),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.1, 0.9),
+    "repeats": ("n_repeat_words", "n_words", 0.1, 0.9),
+    "word_length": ("word_chars", "n_words", 0.25, 0.75),
 }
+#: The metrics that are rates of counts.
+RATES = ("symbols", "dup_lines", "repeats")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -46,8 +52,8 @@ def _shift(a: Column, by: int) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more. The windows' hashes are sorted with their places, so
-    equal ones are neighbours; then the places are sorted and each covers up to three words."""
+    """Words inside 3-word windows that occur twice or more. Of texts in which a window's hash repeats, the hashes are
+    sorted with their places, so equal ones are neighbours; then the places are sorted and each covers up to three words."""
 
     def repeated(s: Column) -> Column:
         before = F.concat(F.array(F.lit(None).cast(_PAIR)), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
@@ -71,8 +77,12 @@ def _repeat_words(words: Column) -> Column:
             F.greatest(F.size(h) - 2, F.lit(0)),
         ),
     )
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    return F.coalesce(let(let(placed, repeated), covered), F.lit(0)).cast("long")
+
+    def counted(hs: Column) -> Column:
+        placed = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), 0).otherwise(let(let(placed, repeated), covered))
+
+    return F.coalesce(let(hashes, counted), F.lit(0)).cast("long")
 
 
 _PAIR = "struct<h:bigint,p:int>"
@@ -102,7 +112,7 @@ def _measured(df: DataFrame) -> DataFrame:
 
 
 def _metric(name: str) -> Column:
-    top, bottom, _ = METRICS[name]
+    top, bottom = METRICS[name][:2]
     return F.floor(F.col(top) * 1000 / F.greatest(F.col(bottom), F.lit(1))).cast("long")
 
 
@@ -121,10 +131,11 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """For each sketch its count and its 10 %, 50 % and 90 % values. A sketch's buckets are a few hundred at most."""
+    """For each sketch its count, its median and its low and high quantiles. A sketch's buckets are a few hundred at most."""
     total = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    named = lambda k: F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v[k])])[F.col("metric")]
 
-    def at(q: float) -> Column:
+    def at(q: Column) -> Column:
         need = F.ceil(F.col("total") * q)
         run = F.aggregate(
             "b",
@@ -134,38 +145,51 @@ def _quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
         return F.when(run <= 0, F.lit(0.0)).otherwise(F.round(2 * F.pow(F.lit(_GAMMA), run - 1) / (1 + _GAMMA), 3))
 
     lists = sketch.groupBy(*keys, "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"))
-    return lists.withColumn("total", total).select(*keys, "metric", "total", at(0.1).alias("low"), at(0.5).alias("mid"), at(0.9).alias("high"))
+    lists = lists.withColumn("total", total).select(*keys, "metric", "total", at(named(2)).alias("low"), at(F.lit(0.5)).alias("mid"), at(named(3)).alias("high"))
+    return lists.withColumns({"up": F.round(F.col("high") - F.col("mid"), 3), "down": F.round(F.col("mid") - F.col("low"), 3)}).drop("low", "high")
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source and, for each metric, ``max_`` and ``min_``."""
-    own = sketches(measured)
+    own = materialize(sketches(measured), "quality-sketches")
     by_lang = merged(own, "lang")
-    levels = [
-        _quantiles(own, "lang", "source").select("lang", "source", "metric", F.lit(0).alias("level"), "total", "low", "mid", "high"),
-        _quantiles(by_lang, "lang").select("lang", F.lit(None).cast("string").alias("source"), "metric", F.lit(1).alias("level"), "total", "low", "mid", "high"),
-        _quantiles(merged(by_lang)).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "metric", F.lit(2).alias("level"), "total", "low", "mid", "high"),
-    ]
-    a, b, c = levels
+    null = F.lit(None).cast("string")
+    a = _quantiles(own, "lang", "source")
+    b = _quantiles(by_lang, "lang").withColumn("source", null)
+    c = _quantiles(merged(by_lang)).withColumns({"lang": null, "source": null})
+    vote = lambda x: F.expr(f"percentile_disc(0.5) within group (order by {x})")
+    votes = a.where(F.col("total") >= MIN_VOTE).groupBy("metric").agg(F.count("*").alias("voters"), vote("up").alias("up"), vote("down").alias("down"))
     big = lambda t: F.col(f"{t}.total") >= MIN_GROUP
     joined = (
         a.alias("a").join(b.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.metric") == F.col("b.metric")))
-        .join(c.alias("c"), F.col("a.metric") == F.col("c.metric"))
+        .join(c.alias("c"), F.col("a.metric") == F.col("c.metric")).join(votes.alias("v"), F.col("a.metric") == F.col("v.metric"), "left")
     )
     chosen = lambda n: F.when(big("a"), F.col(f"a.{n}")).when(big("b"), F.col(f"b.{n}")).otherwise(F.col(f"c.{n}")).alias(n)
-    q = joined.select("a.lang", "a.source", "a.metric", chosen("low"), chosen("mid"), chosen("high"))
-    least = F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, float(v[2]))])[F.col("metric")]
-    up, down = F.col("high") - F.col("mid"), F.col("mid") - F.col("low")
+    q = joined.select("a.lang", "a.source", "a.metric", chosen("mid"), chosen("up"), chosen("down"), big("a").alias("own"), "v.voters", F.col("v.up").alias("all_up"), F.col("v.down").alias("all_down"))
+    elected = F.coalesce(F.col("voters") >= 3, F.lit(False))
+    # without a bound the least of null and the spread is the spread
+    bound = lambda side, other, voted: F.least(F.col(side), SKEW * F.when(elected, F.col(voted)).when(F.col("own"), F.col(other)))
     q = q.select(
         "lang", "source", "metric",
-        (F.col("mid") + F.greatest(least, SPREAD * F.least(up, SKEW * down))).alias("max"),
-        (F.col("mid") - F.greatest(least, SPREAD * F.least(down, SKEW * up))).alias("min"),
+        (F.col("mid") + SPREAD * bound("up", "down", "all_up")).alias("max"),
+        (F.col("mid") - SPREAD * bound("down", "up", "all_down")).alias("min"),
     )
     return q.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in METRICS for e in ("max", "min")]
     )
 
 
+def _beyond(name: str) -> Column:
+    """Whether a document is outside its fences for a metric."""
+    top, bottom = METRICS[name][:2]
+    most, least = F.col(f"max_{name}"), F.col(f"min_{name}")
+    if name not in RATES:
+        return (_metric(name) > most * (1 + 2 * ACCURACY)) | (_metric(name) < least * (1 - 2 * ACCURACY))
+    expected = lambda rate: F.greatest(rate, F.lit(0.0)) * F.col(bottom) / 1000
+    error = lambda rate: ERRORS * F.sqrt(expected(rate) + 1)
+    return (F.col(top) > expected(most) + error(most)) | (F.col(top) < expected(least) - error(least))
+
+
 def _judged(measured: DataFrame) -> DataFrame:
     fences = materialize(thresholds(measured), "quality-thresholds")
     if fences.count() <= BROADCAST_ROWS:
@@ -173,7 +197,7 @@ def _judged(measured: DataFrame) -> DataFrame:
     on = measured["lang"].eqNullSafe(fences["lang"]) & measured["source"].eqNullSafe(fences["source"])
     bad = F.lit(False)
     for m in METRICS:
-        bad = bad | F.coalesce((_metric(m) > F.col(f"max_{m}")) | (_metric(m) < F.col(f"min_{m}")), F.lit(False))
+        bad = bad | F.coalesce(_beyond(m), F.lit(False))
     joined = measured.join(fences, on, "left")
     return joined.select(*[measured[c] for c in measured.columns], (~F.col("base_failed") & ~bad).alias("kept"))
 

@@ -128,45 +128,27 @@ def test_licenses_awkward(spark):
     assert licenses.license_findings(frame(spark, [])).count() == 0
 
 
-def reference_chunks(text):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        rolled = i >= 2 and ((h[i - 2] * 16381 + h[i - 1]) * 16381 + h[i]) % 2147483647
-        if i == len(lines) - 1 or (i >= 2 and rolled % 4 == 0):
-            out.append(lines[start : i + 1])
-            start = i + 1
-    return out
-
-
 def reference_lines(docs):
+    """Windows of two lines that aren't blank; every one but the first of its kind goes."""
     blank = lambda x: not x.strip(" \t\x0b\x0c\r")
-    cuts = [reference_chunks(t) if t is not None else [] for _, t in docs]
-    owners = defaultdict(list)
-    for d, (doc, _) in enumerate(docs):
-        for k, c in enumerate(cuts[d]):
-            if sum(not blank(x) for x in c) >= 2:
-                owners["\n".join(c)].append((doc is None, doc, d, k))
-    stays = set()
-    for places in owners.values():
-        best = min(p[:2] for p in places)
-        firsts = {}
-        for none, doc, d, k in places:
-            if (none, doc) == best:
-                firsts.setdefault(d, (d, k))
-        stays |= set(firsts.values())
-    repeated = {(d, k) for places in owners.values() for _, _, d, k in places} - stays
+    version = lambda t: hashlib.md5(t.encode()).hexdigest()[:15]
+    places = defaultdict(set)
+    for doc, text in docs:
+        lines = (text or "").split("\n")
+        at = [i for i, x in enumerate(lines) if not blank(x)]
+        for i, j in zip(at, at[1:], strict=False):
+            places["\n".join(lines[i : j + 1])].add((doc is None, doc or 0, version(text), i, j))
+    gone = defaultdict(set)
+    for found in places.values():
+        for p in found - {min(found)}:
+            gone[p[:3]] |= set(range(p[3], p[4] + 1))
     out = []
-    for d, (doc, text) in enumerate(docs):
+    for doc, text in docs:
         if text is None:
             out.append((doc, 0, 0, 0, None))
             continue
-        kept = [c for k, c in enumerate(cuts[d]) if (d, k) not in repeated]
-        left = [x for c in kept for x in c]
-        gone = len(cuts[d]) - len(kept)
-        n = text.count("\n") + 1
-        out.append((doc, n, gone, n - len(left), "\n".join(left)))
+        lines, away = text.split("\n"), gone[doc is None, doc or 0, version(text)]
+        out.append((doc, len(lines), sum(i - 1 not in away for i in away), len(away), "\n".join(x for i, x in enumerate(lines) if i not in away)))
     return Counter(out)
 
 
@@ -188,12 +170,34 @@ def test_line_chunks_awkward(spark):
     got = line_rows(line_chunks.without_repeated_chunks(frame(spark, rows)))
     assert got == reference_lines([r[:2] for r in rows])
     removed = {r[0]: r[3] for r in got}
-    assert removed[31] >= 15 and removed[33] == 0
+    assert removed[31] >= 30 and removed[33] == 0
     assert line_chunks.without_repeated_chunks(frame(spark, [])).count() == 0
     out = line_chunks.cleaned_rows(frame(spark, rows))
     assert out.columns == frame(spark).columns and out.count() == len(rows)
 
 
+def test_one_copy_of_repeated_rows_stays(spark):
+    text = "a one\nb two\nc three"
+    for rows in ([(1, text), (1, text)], [(1, text), (1, text), (2, text)], [(None, text), (2, text), (2, "x y\n" + text)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = line_rows(line_chunks.without_repeated_chunks(docs))
+        assert got == reference_lines(rows)
+        left = [t for _, _, _, _, t in got.elements() if text in t]
+        assert left and set(left) == {text}
+        assert Counter(r["text"] for r in line_chunks.cleaned_rows(docs).collect()) == Counter(t for *_, t in got.elements())
+
+
+@pytest.mark.parametrize("n", range(2, 11))
+def test_passages_of_few_lines_are_found_whole(spark, n):
+    """Documents of their own lines that share one passage of over 50 words: it stays once, and nothing else goes."""
+    own = lambda d, k: "\n".join(f"own line {d} {k} {i}" for i in range(3))
+    passage = "\n".join(" ".join(f"p{n}w{i}x{k}" for k in range(60 // n + 1)) for i in range(n))
+    rows = [(d, f"{own(d, 0)}\n{passage}\n\n{own(d, 1)}") for d in range(40)]
+    got = {r["doc_id"]: r for r in rows_of(line_chunks.without_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[0]["clean_text"] == rows[0][1]
+    assert all(got[d]["clean_text"] == f"{own(d, 0)}\n\n{own(d, 1)}" and got[d]["chunks_removed"] == 1 for d in range(1, 40))
+
+
 def test_token_counts(spark, sf):
     encode = token_counts.encoding(token_counts.RANKS).encode_ordinary
     lengths = Counter(len(encode(r["text"])) for r in read_table(spark, sf, "documents").collect())

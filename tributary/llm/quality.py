@@ -69,14 +69,9 @@ def _repeat_words(words: Column) -> Column:
         gaps = F.zip_with(at, _shift(at, 1), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
 
-    hashes = let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.slice(
-            F.zip_with(F.zip_with(h, _shift(h, 1), lambda a, b: F.struct(a, b)), _shift(h, 2), lambda ab, c: F.xxhash64(ab, c)),
-            1,
-            F.greatest(F.size(h) - 2, F.lit(0)),
-        ),
-    )
+    # one lambda for each word: three are an interpreted call each
+    triples = F.slice(F.arrays_zip(words, _shift(words, 1), _shift(words, 2)), 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    hashes = F.transform(triples, lambda t: F.xxhash64(t))
 
     def counted(hs: Column) -> Column:
         placed = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -91,8 +86,11 @@ _PAIR = "struct<h:bigint,p:int>"
 def _measured(df: DataFrame) -> DataFrame:
     """``df`` (text and others) plus the base counts, n_lines and base_failed."""
     text = F.coalesce("text", F.lit(""))
-    spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    words = let(F.filter(F.split(spaced, " "), lambda w: w != ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")))
+    spaced = F.regexp_replace(text, "[\\t\\n\\x0B\\f\\r]", " ")
+    words = let(
+        F.array_remove(F.split(spaced, " "), ""),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("c"), _repeat_words(w).alias("r")),
+    )
     lines = let(
         F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != ""),
         lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d")),
@@ -100,13 +98,12 @@ def _measured(df: DataFrame) -> DataFrame:
     kept = [c for c in df.columns if c != "text"]
     out = df.select(
         *kept,
-        F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         words.alias("w"),
         lines.alias("l"),
     )
     return out.select(
-        *kept, F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.n").alias("n_lines"),
+        *kept, F.col("w.n").alias("n_words"), F.col("w.c").alias("word_chars"), "n_symbols", F.col("l.n").alias("n_lines"),
         (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"),
     ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 

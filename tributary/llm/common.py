@@ -92,8 +92,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Bits of the marks below: 16 for each id, within these bounds (4 KiB to 32 MiB).
-MARK_BITS = (1 << 15, 1 << 28)
+#: Bits of the marks below: 128 or more for each id, within these bounds (128 KiB to 32 MiB).
+MARK_BITS = (1 << 20, 1 << 28)
 
 
 def with_marks(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def with_marks(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     n, (least, most) = ids.count(), MARK_BITS
     if 2 * n > most:
         return df.withColumn("_maybe", F.lit(True))
-    bits = min(most, max(least, 1 << (16 * n).bit_length()))
+    bits = min(most, max(least, 1 << (128 * n).bit_length()))
     h = F.pmod(F.xxhash64(key), F.lit(bits))
     # dealt by bitmap before it is built: else every task would send a 4 KiB bitmap for each of its few ids
     places = ids.select(F.bitmap_bucket_number(h).alias("_b"), F.bitmap_bit_position(h).alias("_p")).distinct().repartition("_b")

@@ -2,12 +2,18 @@
 
 Every partition of the documents is cut into shards of up to ``SHARD_WORDS`` words. A shard's words become ordered
 integers and its suffixes are sorted by doubling: by 1, 2, 4, ... words, where each round sorts only those suffixes
-that are still equal to another. Then every suffix of every benchmark item is looked up by binary search, all
-suffixes at once; the array's range of suffixes that begin with the item's next ``WINDOW`` words gives all places.
-Places that follow each other in both texts make up the longest verbatim match from there.
+that are still equal to another. Then every suffix of every benchmark item is looked up by binary search, equal ones (by
+their next ``WINDOW`` words, or a whole shorter item) at once; the array's range of suffixes that begin with those words gives
+all places. A place holds one window of each length at most, so the places found are as many as the shard's words (times
+the lengths there are), however often texts or items repeat themselves.
 
-The benchmark is sent to the executors in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents for
-each block; documents are never shuffled, and no partition needs another one.
+Words inside a found window are hit. Of the places that follow each other, each match is the longest run of words that is
+also in an item: it starts where the one before ended, follows all occurrences of its first window in the items, and names the
+first of those that go on the longest. The items of a document are all those that a found window occurs in; windows with the
+same set of items are looked up as one.
+
+The benchmark is sent to the executors in blocks of at most about ``BLOCK_BYTES`` of text. A task holds one block at a time,
+sorts each shard once and looks up all blocks in it; documents are never shuffled, and no partition needs another one.
 
 Defined results: null texts and texts without words have no hits; items without words are left out; items with a null
 item_id mark words and count as an item named "null"; repeated rows are each looked up; of several rows with one
@@ -22,49 +28,75 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.llm.common import pick, unpack_row, with_row
-from tributary.llm.words import ALNUM, hashed
+from tributary.llm.words import ALNUM, U64, hashed, mix, windows
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Suffixes that are looked up at a time.
+_STEP = 1 << 16
 
 _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())]))
 MATCHES = "array<struct<item_id:string,item_start:bigint,doc_start:bigint,words:bigint>>"
 
 
-class Suffixes(NamedTuple):
-    """Begins of the items' suffixes in ``words``; ``length`` words of each are looked up."""
+class Items(NamedTuple):
+    """The items' words one after another, and their distinct windows (numbered from 0)."""
 
     words: np.ndarray
-    begin: np.ndarray
-    length: np.ndarray
-    item: np.ndarray
-    start: np.ndarray
+    item: np.ndarray  # of each word
+    first: np.ndarray  # where each item's words begin
+    window: np.ndarray  # that begins at each word, or -1
+    length: np.ndarray  # of each window, in words
+    places: np.ndarray  # of all windows, window after window
+    upto: np.ndarray  # where each window's places end
+    group: np.ndarray  # of each window: the set of its items
+    members: np.ndarray  # of all groups, group after group
+    member_upto: np.ndarray
     names: list[str]
 
+    def occurrences(self, window: int) -> np.ndarray:
+        return self.places[self.upto[window - 1] if window else 0 : self.upto[window]]
+
 
-def item_suffixes(names: list[str | None], texts: list[str | None]) -> Suffixes:
-    words, begin, length, item, start, at = [], [], [], [], [], 0
+def item_windows(names: list[str | None], texts: list[str | None]) -> Items:
+    words, counts = [np.empty(0, U64)], np.zeros(len(texts), np.int64)
     for part in hashed(pa.array(texts, pa.large_string()), ALNUM):
-        for k, (lo, hi) in enumerate(zip(part.starts[:-1], part.starts[1:], strict=True)):
-            n = int(hi - lo)
-            if not n:
-                continue
-            places = np.arange(max(1, n - WINDOW + 1))
-            words.append(part.hashes[lo:hi])
-            begin.append(at + places)
-            length.append(np.full(len(places), min(n, WINDOW)))
-            item.append(np.full(len(places), part.first + k))
-            start.append(places)
-            at += n
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-    names = ["null" if n is None else str(n) for n in names]
-    return Suffixes(join(words, np.uint64), join(begin, np.int64), join(length, np.int64), join(item, np.int64), join(start, np.int64), names)
+        words.append(part.hashes)
+        counts[part.first : part.first + len(part.starts) - 1] = np.diff(part.starts)
+    flat = np.concatenate(words)
+    first = np.cumsum(counts) - counts
+    item = np.repeat(np.arange(len(counts)), counts)
+    ahead = counts[item] - (np.arange(len(flat)) - first[item])  # words from here to the item's end
+    long = counts[item] >= WINDOW
+    begins = np.flatnonzero(np.where(long, ahead >= WINDOW, ahead == counts[item]))
+    size = np.minimum(counts[item[begins]], WINDOW)
+    key = np.zeros(len(begins), U64)
+    for n in np.unique(size):
+        of = windows(np.r_[flat, np.zeros(WINDOW, U64)], int(n))
+        key[size == n] = mix(of[begins[size == n]] ^ U64(n))
+    _, one, number = np.unique(key, return_index=True, return_inverse=True)
+    window = np.full(len(flat) + 1, -1, np.int64)
+    window[begins] = number
+    places = begins[np.argsort(number, kind="stable")]
+    upto = np.cumsum(np.bincount(number, minlength=len(one)))
+    # sets of items, told by the sum and the number of their members
+    pair = np.unique(np.stack([number, item[begins]], 1), axis=0) if len(begins) else np.empty((0, 2), np.int64)
+    total = np.zeros(len(one), U64)
+    np.add.at(total, pair[:, 0], mix(pair[:, 1].astype(U64) + U64(1)))
+    n_members = np.bincount(pair[:, 0], minlength=len(one))
+    _, shown, group = np.unique(mix(total) ^ n_members.astype(U64), return_index=True, return_inverse=True)
+    end = np.cumsum(n_members)
+    members = [pair[end[w] - n_members[w] : end[w], 1] for w in shown]
+    return Items(
+        flat, item, first, window, size[one], places, upto, group, np.concatenate(members) if members else np.empty(0, np.int64),
+        np.cumsum([len(m) for m in members], dtype=np.int64), ["null" if n is None else str(n) for n in names],
+    )
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -110,45 +142,107 @@ def _bounds(tokens: np.ndarray, array: np.ndarray, query: np.ndarray, length: np
     return out[0], out[1]
 
 
-def _shard_matches(texts: list[np.ndarray], test: Suffixes) -> tuple[np.ndarray, ...]:
-    """(text, item, item_start, doc_start, words) of all longest matches in a shard."""
-    flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
-    lengths = np.array([len(t) for t in texts])
-    known, ids = np.unique(flat, return_inverse=True)
-    begins = np.cumsum(lengths + 1) - (lengths + 1)
-    tokens = np.zeros(len(flat) + len(texts) + WINDOW, np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    tokens[np.arange(len(flat)) + owner] = 2 * ids + 2
-    found = np.searchsorted(known, test.words)
-    same = known[np.minimum(found, len(known) - 1)] == test.words if len(known) else np.zeros(len(found), bool)
-    words = np.r_[np.where(same, 2 * found + 2, 2 * found + 1), np.zeros(WINDOW, np.int64)]
-    array = suffix_array(tokens, WINDOW)
-    lo, hi = _bounds(tokens, array, words[test.begin[:, None] + np.arange(WINDOW)], test.length)
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    at = array[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    text = np.searchsorted(begins, at, "right") - 1
-    item, start, length = test.item[which], test.start[which], test.length[which]
-    order = np.lexsort((at, at - start, item))
-    text, item, start, length, at = (x[order] for x in (text, item, start, length, at))
-    new = np.r_[True, (np.diff(item) != 0) | (np.diff(at - start) != 0) | (np.diff(at) != 1)] if len(at) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    run = np.diff(np.r_[first, len(at)])
-    return text[first], item[first], start[first], at[first] - begins[text[first]], length[first] + run - 1
-
-
-def _looked_up(test: Suffixes, name: str, count: str):  # noqa: ANN202
+def longest(found: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """Matches in a run of windows that follow each other in a text: (offset, place in the items, windows)."""
+    out, k = [], 0
+    while k < len(found):
+        there, n = items.occurrences(found[k]), 1
+        while k + n < len(found):
+            if len(there) == 1:
+                ahead = items.window[there[0] + n : there[0] + len(found) - k]
+                unlike = np.flatnonzero(ahead != found[k + n : k + n + len(ahead)])
+                n += int(unlike[0]) if len(unlike) else len(ahead)
+                break
+            on = there[items.window[np.minimum(there + n, len(items.window) - 1)] == found[k + n]]
+            if not len(on):
+                break
+            there, n = on, n + 1
+        out.append((k, int(there[0]), n))
+        k += n
+    return out
+
+
+class Shard:
+    """Texts (word hashes) with their suffix array, and what is found in them: hit words, (text, item name), matches."""
+
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        flat = np.concatenate(texts) if texts else np.empty(0, U64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.known, ids = np.unique(flat, return_inverse=True)
+        self.begins = np.cumsum(lengths + 1) - (lengths + 1)
+        self.tokens = np.zeros(len(flat) + len(texts) + WINDOW, np.int64)
+        self.tokens[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), lengths)] = 2 * ids + 2
+        self.array = suffix_array(self.tokens, WINDOW)
+        self.cover = np.zeros(len(self.tokens) + 1, np.int64)
+        self.items: set[tuple[int, str]] = set()
+        self.matches: list[tuple[int, int, str, int, int]] = []
+
+    def look_up(self, items: Items) -> None:
+        at = np.searchsorted(self.known, items.words)
+        same = self.known[np.minimum(at, len(self.known) - 1)] == items.words if len(self.known) else np.zeros(len(at), bool)
+        words = np.r_[np.where(same, 2 * at + 2, 2 * at + 1), np.zeros(WINDOW, np.int64)]
+        strange = np.r_[0, np.cumsum(~same)]
+        begin = items.places[np.r_[0, items.upto[:-1]]] if len(items.upto) else np.empty(0, np.int64)
+        asked = np.flatnonzero(strange[begin + items.length] == strange[begin])  # only these can occur
+        wheres, whats = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(0, len(asked), _STEP):
+            some = asked[k : k + _STEP]
+            lo, hi = _bounds(self.tokens, self.array, words[begin[some][:, None] + np.arange(WINDOW)], items.length[some])
+            n = hi - lo
+            whats.append(np.repeat(some, n))
+            wheres.append(self.array[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
+        where, what = np.concatenate(wheres), np.concatenate(whats)
+        length = items.length[what]
+        order = np.lexsort((where, length))
+        where, what, length = where[order], what[order], length[order]
+        np.add.at(self.cover, where, 1)
+        np.add.at(self.cover, where + length, -1)
+        text = np.searchsorted(self.begins, where, "right") - 1
+        for t, g in np.unique(np.stack([text, items.group[what]], 1), axis=0) if len(text) else ():
+            for i in items.members[items.member_upto[g - 1] if g else 0 : items.member_upto[g]]:
+                self.items.add((int(t), items.names[i]))
+        # windows of full length that follow each other are one run; a shorter item is a match of its own
+        new = np.r_[True, (np.diff(where) != 1) | (np.diff(length) != 0) | (length[1:] < WINDOW)] if len(where) else np.empty(0, bool)
+        edges = [*np.flatnonzero(new).tolist(), len(where)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            for k, place, n in longest(what[lo:hi], items):
+                i = int(items.item[place])
+                t = int(text[lo])
+                self.matches.append((t, int(where[lo + k] - self.begins[t]), items.names[i], int(place - items.first[i]), int(length[lo] + n - 1)))
+
+    def hit(self) -> np.ndarray:
+        """Hit words of each text."""
+        inside = np.r_[0, np.cumsum(np.cumsum(self.cover) > 0)]
+        ends = np.r_[self.begins[1:], len(self.cover)]
+        return inside[ends] - inside[self.begins]
+
+
+def _looked_up(blocks: list):  # noqa: ANN001, ANN202
+    """``blocks``: broadcasts of ``Items``; with more than one, each is let go after its use."""
+
+    def found_in(texts: list[np.ndarray]) -> Shard:
+        shard = Shard(texts)
+        for block in blocks:
+            shard.look_up(block.value)
+            if len(blocks) > 1:
+                del block._value
+        return shard
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = test.value
         for batch in batches:
-            counts = np.zeros(batch.num_rows, np.int64)
-            found: list[tuple[np.ndarray, ...]] = []
+            counts, hits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            ids: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            matches: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             shard: list[np.ndarray] = []
             begin = size = 0
 
             def close() -> None:
-                got = _shard_matches(shard, suffixes)
-                found.append((got[0] + begin, *got[1:]))
+                got = found_in(shard)
+                hits[begin : begin + len(shard)] = got.hit()
+                for t, name in sorted(got.items):
+                    ids[begin + t].append(name)
+                for t, at, name, start, n in sorted(got.matches):
+                    matches[begin + t].append({"item_id": name, "item_start": start, "doc_start": at, "words": n})
 
             for part in hashed(batch.column("text"), ALNUM):
                 for k in range(len(part.starts) - 1):
@@ -161,64 +255,41 @@ def _looked_up(test: Suffixes, name: str, count: str):  # noqa: ANN202
                     counts[part.first + k] = len(own)
             if shard:
                 close()
-            text, item, start, at, words = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(5))
-            order = np.lexsort((start, item, at, text))
-            ends = np.searchsorted(text[order], np.arange(batch.num_rows + 1))
-            values = pa.StructArray.from_arrays(
-                [pa.array([suffixes.names[i] for i in item[order]], pa.string()), *[pa.array(x[order], pa.int64()) for x in (start, at, words)]],
-                fields=list(_MATCH.value_type),
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(counts), pa.array(hits), pa.array(ids, pa.list_(pa.string())), pa.array(matches, _MATCH)],
+                [*batch.schema.names, "n_words", "n_hit", "items", "matches"],
             )
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] not in (name, count)]
-            names = [n for n in batch.schema.names if n not in (name, count)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), lists], [*names, count, name])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Suffixes]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
     items = pick(benchmark, item_id="string", text="string")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         rows = part.collect()  # about block_bytes of text
-        yield item_suffixes([r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield item_windows([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
 def with_matches(rows: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``rows`` (with a column text) plus n_words and ``matches``: item_id, item_start, doc_start, words of every
-    longest verbatim match of ``WINDOW`` words or more (or of a whole shorter item)."""
-    context, parts = rows.sparkSession.sparkContext, []
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
-        name = f"_m{k}"
-        kept = [f for f in rows.schema.fields if f.name != "n_words"]
-        schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField(name, T._parse_datatype_string(MATCHES))])
-        rows = rows.mapInArrow(_looked_up(context.broadcast(block), name, "n_words"), schema)
-        parts.append(name)
-    matches = F.concat(*parts) if len(parts) > 1 else F.col(parts[0])
-    return rows.withColumn("matches", matches).drop(*parts)
-
-
-def hit_words(matches: Column) -> Column:
-    """Words inside the union of all matches."""
-    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_start"].alias("s"), (m["doc_start"] + m["words"]).alias("e"))))
-    zero = F.lit(0).cast("long")
-    return F.aggregate(
-        spans,
-        F.struct(zero.alias("n"), zero.alias("end")),
-        lambda a, x: F.struct((a["n"] + F.greatest(zero, x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")),
-    )["n"]
+    """``rows`` (with a column text) plus n_words, n_hit, ``items`` (sorted ids) and ``matches``: item_id, item_start,
+    doc_start, words of the longest verbatim matches of ``WINDOW`` words or more (or of a whole shorter item)."""
+    context = rows.sparkSession.sparkContext
+    blocks = [context.broadcast(block) for block in _blocks(benchmark, block_bytes)]
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T._parse_datatype_string(MATCHES))]
+    found = rows.mapInArrow(_looked_up(blocks), T.StructType([*rows.schema.fields, *more]))
+    return found.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted item_ids), matches of every row."""
     found = with_matches(pick(docs, doc_id="long", text="string"), benchmark, block_bytes)
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    return found.select("doc_id", "n_words", hit_words(F.col("matches")).alias("n_hit"), items.alias("items"), "matches")
+    return found.select("doc_id", "n_words", "n_hit", "items", "matches")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` without any match, with their own columns."""
+    """The rows of ``docs`` without a hit word, with their own columns."""
     found = with_matches(with_row(docs, text="string"), benchmark, block_bytes)
-    return unpack_row(found.where(F.size("matches") == 0), docs.columns)
+    return unpack_row(found.where("n_hit = 0"), docs.columns)

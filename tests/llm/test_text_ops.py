@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import awkward, frame
-from tributary.llm import decontamination, near_dup
+from tributary.llm import decontamination, near_dup, words
 from tributary.llm.common import read_table, with_marks
 from tributary.llm.components import components
 from tributary.llm.queries import QUERIES
@@ -108,6 +108,48 @@ def test_signatures_estimate_similarity():
         assert abs((near_dup.signature(a) == near_dup.signature(b)).mean() - true) < 0.15
 
 
+def test_bands_and_screen_lose_few_pairs():
+    """Signatures of random pairs a little above the threshold, with unions of few and of many shingles."""
+    draw = np.random.default_rng(9)
+    lost = trials = 0
+    for union in (20, 40, 80, 140, 300, 1000):
+        common = -(-85 * union // 100)
+        for _ in range(1500):
+            x = draw.integers(1, 1 << 63, union).astype(np.uint64)
+            own = common + (union - common) // 2
+            a, b = near_dup.signature(np.unique(x[:own])), near_dup.signature(np.unique(np.r_[x[:common], x[own:]]))
+            same = a == b
+            lost += not (same.mean() >= near_dup.SCREEN and same.reshape(near_dup.BANDS, near_dup.ROWS).all(axis=1).any())
+            trials += 1
+    assert lost <= 6, (lost, trials)
+
+
+def test_strays_of_large_buckets_in_sub_blocks():
+    """Block pairs beyond the sub-block size give what all pairs give."""
+    draw = np.random.default_rng(4)
+    sig = np.repeat(draw.integers(0, 1 << 16, (1, near_dup.BINS)), 700, axis=0).astype(np.uint16)
+    for r in range(700):
+        sig[r, draw.integers(8, near_dup.BINS, r % 90)] = r
+    rows = {"node": np.arange(700), "n": draw.integers(90, 120, 700), "component": np.arange(700) // 3, "band": np.zeros(700, np.int64), "lo": np.zeros(700, np.int64), "hi": np.ones(700, np.int64), "block": (np.arange(700) >= 400).astype(np.int64)}
+    want = lambda pairs: {(a, b) for a, b in pairs if rows["component"][a] != rows["component"][b] and 100 * min(rows["n"][a], rows["n"][b]) >= 85 * max(rows["n"][a], rows["n"][b]) and (sig[a] == sig[b]).mean() >= near_dup.SCREEN}
+    got = list(zip(*near_dup._block_pairs(rows, sig), strict=True))
+    assert set(got) == want((a, b) for a in range(400) for b in range(400, 700)) and len(got) == len(set(got)) > 100
+    one = {k: v[:400] for k, v in rows.items()} | {"hi": np.zeros(400, np.int64)}
+    assert set(zip(*near_dup._block_pairs(one, sig[:400]), strict=True)) == want((a, b) for a in range(400) for b in range(a + 1, 400))
+
+
+def test_long_texts_are_hashed_in_pieces():
+    texts = ["b", "a bc " * 50 + "d" * 100 + " e", "", "x" * 300, " y  z "]
+    whole = [(w.first, w.hashes.tolist(), w.starts.tolist()) for w in near_dup.hashed(near_dup.pa.array(texts), near_dup.SPACED)]
+    words.STEP = 64
+    try:
+        parts = list(near_dup.hashed(near_dup.pa.array(texts), near_dup.SPACED))
+    finally:
+        words.STEP = 1 << 21
+    assert [h for w in parts for h in w.hashes.tolist()] == [h for _, hs, _ in whole for h in hs]
+    assert sum(len(w.starts) - 1 for w in parts) == len(texts)
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 200) if i % 50] + [(draw.randrange(300, 400), draw.randrange(300, 400)) for _ in range(60)] + [(900, 500 + i) for i in range(40)]

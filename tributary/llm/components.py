@@ -30,6 +30,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         discard(labels)
         if nexts.where("changed").isEmpty():
             discard(both)
-            return nexts.select("node", "component")
+            out = nexts.select("node", "component")
+            out._written_at = nexts._written_at
+            return out
         labels = nexts
     raise RuntimeError(f"components still change after {rounds} rounds")

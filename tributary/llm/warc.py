@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import fresh_path, materialize, pick
+from tributary.llm.common import fresh_path, materialize, pick, with_marks
 
 VERSION = b"WARC/1.1\r\n"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
@@ -39,6 +39,8 @@ _GZIP = b"\x1f\x8b\x08"
 #: A gzip member of this many bytes or more has another last byte than zero.
 MEMBER_LIMIT = 1 << 24
 _STEP = 1 << 16
+#: Records of an archive. An archive is read as a whole, so this bounds a reader's memory.
+FILE_RECORDS = 4_096
 
 RECORD_SCHEMA = (
     "archive string, kind string, start long, bytes long, reason string, page_id long, url string, record_type string, "
@@ -76,12 +78,15 @@ def gzip_member(data: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, when: str = "2024-01-01T00:00:00Z") -> None:
-    """Archives of all ``pages`` (page_id, url, html) as files below ``path``, one for each partition."""
+    """Archives of all ``pages`` (page_id, url, html) as files below ``path``, of ``FILE_RECORDS`` records each at most."""
     base = pick(pages, page_id="long", url="string", html="string")
     base = base.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    # written first, so that both sides of the join are dealt anew and Spark can split a hot payload
-    firsts = materialize(base.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-firsts")
-    labelled = base.join(firsts, "digest").select("page_id", "url", "html", "first")
+    # written first, so that both sides of the join are dealt anew and Spark can split a hot payload; of payloads that
+    # occur once nothing but the digest is shuffled
+    firsts = materialize(base.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
+    marked = with_marks(base, "digest", firsts)
+    labelled = marked.where("_maybe").join(firsts.hint("merge"), "digest", "left").select("page_id", "url", "html", "first")
+    labelled = labelled.unionByName(marked.where("not _maybe").select("page_id", "url", "html", F.lit(None).cast("long").alias("first")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +96,7 @@ def write_archives(pages: DataFrame, path: str, when: str = "2024-01-01T00:00:00
                 yield pa.RecordBatch.from_arrays([pa.array([member(*r, when)[:-1] for r in rows], pa.binary())], ["value"])
 
     packed = labelled.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("lineSep", "\x00").text(path)
+    packed.write.option("lineSep", "\x00").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:
@@ -231,7 +236,8 @@ def salvage(content: bytes) -> Iterator[dict]:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Rows of kind ``record`` and ``gap`` of all files below ``path``. ``payloads=False`` leaves the payloads out."""
+    """Rows of kind ``record`` and ``gap`` of all files below ``path``. ``payloads=False`` leaves the payloads out. A file
+    is one row of Spark's ``binaryFile`` source, which refuses files of 2 GiB or more."""
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in RECORD_SCHEMA.split(", ")])

@@ -1,7 +1,7 @@
 """Two graphs made from the driver's tables by rules that any SQL engine can follow.
 
 ``instance_graph``: rows as nodes, foreign keys as edges; shallow and wide. ``layered_graph``: a project of three model
-layers with sources and exposures, whose attributes follow from the keys by arithmetic. ``mutated`` is a later state.
+layers (every supplier, part and order is a model) with sources and exposures, whose attributes follow from the keys by arithmetic. ``mutated`` is a later state.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tributary.plans.bundle import CONSTRAINT, FRESHNESS, Bundle, bundle
 from tributary.session import table, written
 
-MODELS = 300
 SOURCES, EXPOSURES, FAN_OUT = 10, 16, 3
 
 
@@ -45,13 +44,13 @@ def instance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """layer, k, idx, name, unique_id, path of all models."""
     staging = table(spark, sf_dir, "supplier").select(F.lit("staging").alias("layer"), F.col("s_suppkey").alias("k"))
-    middle = table(spark, sf_dir, "part").where(F.col("p_partkey") < MODELS).select(F.lit("intermediate").alias("layer"), F.col("p_partkey").alias("k"))
-    marts = table(spark, sf_dir, "orders").where(F.col("o_orderkey") < MODELS).select(F.lit("marts").alias("layer"), F.col("o_orderkey").alias("k"))
+    middle = table(spark, sf_dir, "part").select(F.lit("intermediate").alias("layer"), F.col("p_partkey").alias("k"))
+    marts = table(spark, sf_dir, "orders").select(F.lit("marts").alias("layer"), F.col("o_orderkey").alias("k"))
     n = staging.agg(F.count("*").alias("ns")).crossJoin(middle.agg(F.count("*").alias("ni")))  # one row
     every = staging.unionByName(middle).unionByName(marts).crossJoin(F.broadcast(n))
     prefix = F.expr("""case layer when 'staging' then if(k % 7 = 0, 'sta_', 'stg_') when 'intermediate' then if(k % 9 = 0, 'mid_', 'int_')
         else case when k % 11 = 0 then 'mar_' when k % 2 = 0 then 'fct_' else 'dim_' end end""")
-    out = every.withColumn("name", F.concat(prefix, F.lpad(F.col("k").cast("string"), 5, "0")))
+    out = every.withColumn("name", F.concat(prefix, F.expr("if(k < 100000, lpad(cast(k as string), 5, '0'), cast(k as string))")))
     return out.select(
         "layer", "k", "ns", "ni", "name",
         F.expr("case layer when 'staging' then k when 'intermediate' then ns + k else ns + ni + k end").alias("idx"),
@@ -71,9 +70,14 @@ def layered_graph(spark: SparkSession, sf_dir: str) -> Bundle:
         .unionByName(exposures.select("unique_id", "name", F.lit("exposure").alias("resource_type"), F.lit("exposures.yml").alias("path"), null.alias("materialized")))
     )
     by_idx = m.select(F.col("idx").alias("at"), F.col("unique_id").alias("parent"))
-    picks = m.where("layer <> 'staging'").select("unique_id", "idx", F.expr("if(layer = 'intermediate', ns, ns + ni)").alias("pool"), F.explode(F.sequence(F.lit(0), F.lit(FAN_OUT - 1))).alias("j"))
-    model_edges = picks.withColumn("at", (F.col("idx") * 31 + F.col("j") * 7) % F.col("pool")).join(by_idx, "at").select("parent", F.col("unique_id").alias("child"))
-    reads = m.where("layer = 'staging' or (layer = 'intermediate' and k % 17 = 0)").select(F.concat(F.lit("source.bench.raw.tbl_"), (F.col("k") % 8).cast("string")).alias("parent"), F.col("unique_id").alias("child"))
+    # parts with k % 97 = 5 are roots; an order with k % 59 = 1 reads the one before and that one's first parent
+    picks = m.where("layer = 'marts' or (layer = 'intermediate' and k % 97 <> 5)").select("unique_id", "idx", F.expr("if(layer = 'intermediate', ns, ns + ni)").alias("pool"), F.explode(F.sequence(F.lit(0), F.lit(FAN_OUT - 1))).alias("j"))
+    picks = picks.withColumn("at", (F.col("idx") * 31 + F.col("j") * 7) % F.col("pool"))
+    rejoin = m.where("layer = 'marts' and k % 59 = 1").select("unique_id", F.explode(F.array(F.col("idx") - 1, ((F.col("idx") - 1) * 31) % (F.col("ns") + F.col("ni")))).alias("at"))
+    model_edges = picks.select("unique_id", "at").unionByName(rejoin).join(by_idx, "at").select("parent", F.col("unique_id").alias("child"))
+    reads = m.where("layer = 'staging' or (layer = 'intermediate' and k % 17 = 0)").select(F.col("k").alias("j"), "unique_id")
+    reads = reads.unionByName(m.where("layer = 'staging' and k % 29 = 3").select((F.col("k") + 3).alias("j"), "unique_id"))
+    reads = reads.select(F.concat(F.lit("source.bench.raw.tbl_"), (F.col("j") % 8).cast("string")).alias("parent"), F.col("unique_id").alias("child"))
     staging = m.where("layer = 'staging'")
     among = staging.where("k % 19 = 1").select((F.col("k") - 1).alias("at"), F.col("unique_id").alias("child")).join(staging.select(F.col("k").alias("at"), F.col("unique_id").alias("parent")), "at").select("parent", "child")
     marts = m.where("layer = 'marts'")

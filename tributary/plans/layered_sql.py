@@ -11,11 +11,11 @@ A = """edges as (
 # models, nodes, edges, detail, cols, tests, run and catalog of the layered graph
 B = """m0 as (
  select 'staging' as layer, s_suppkey as k from supplier
- union all select 'intermediate', p_partkey from part where p_partkey < 300
- union all select 'marts', o_orderkey from orders where o_orderkey < 300),
+ union all select 'intermediate', p_partkey from part
+ union all select 'marts', o_orderkey from orders),
 m1 as (select *, (select count(*) from m0 where layer = 'staging') as ns, (select count(*) from m0 where layer = 'intermediate') as ni,
  case layer when 'staging' then case when k % 7 = 0 then 'sta_' else 'stg_' end when 'intermediate' then case when k % 9 = 0 then 'mid_' else 'int_' end
- else case when k % 11 = 0 then 'mar_' when k % 2 = 0 then 'fct_' else 'dim_' end end || lpad(cast(k as varchar), 5, '0') as name from m0),
+ else case when k % 11 = 0 then 'mar_' when k % 2 = 0 then 'fct_' else 'dim_' end end || case when k < 100000 then lpad(cast(k as varchar), 5, '0') else cast(k as varchar) end as name from m0),
 m as (select layer, k, ns, ni, name, case layer when 'staging' then k when 'intermediate' then ns + k else ns + ni + k end as idx,
  'model.' || case when k % 10 = 9 then 'vendor' else 'bench' end || '.' || name as unique_id,
  case when k % 13 = 0 then case when layer = 'staging' then 'marts' else 'staging' end else layer end as dir,
@@ -27,8 +27,11 @@ nodes as (select unique_id, name, 'model' as resource_type, dir || '/' || name |
  union all select unique_id, name, 'exposure', 'exposures.yml', null, 'other' from expo),
 edges as (
  select distinct p.unique_id as parent, c.unique_id as child from m c, range(3) t(j), m p
-  where c.layer <> 'staging' and p.idx = (c.idx * 31 + j * 7) % case when c.layer = 'intermediate' then c.ns else c.ns + c.ni end
+  where (c.layer = 'marts' or (c.layer = 'intermediate' and c.k % 97 <> 5)) and p.idx = (c.idx * 31 + j * 7) % case when c.layer = 'intermediate' then c.ns else c.ns + c.ni end
  union select 'source.bench.raw.tbl_' || (k % 8), unique_id from m where layer = 'staging' or (layer = 'intermediate' and k % 17 = 0)
+ union select p.unique_id, c.unique_id from m c join m p on p.idx = c.idx - 1 where c.layer = 'marts' and c.k % 59 = 1
+ union select p.unique_id, c.unique_id from m c join m p on p.idx = ((c.idx - 1) * 31) % (c.ns + c.ni) where c.layer = 'marts' and c.k % 59 = 1
+ union select 'source.bench.raw.tbl_' || ((k + 3) % 8), unique_id from m where layer = 'staging' and k % 29 = 3
  union select p.unique_id, c.unique_id from m c join m p on p.k = c.k - 1 and p.layer = 'staging' where c.layer = 'staging' and c.k % 19 = 1
  union select m.unique_id, expo.unique_id from expo, range(2) t(z), m where m.layer = 'marts' and m.k = (expo.i * 7 + 3 * z) % (select count(*) from m where layer = 'marts')),
 cols as (select unique_id, k, 0 as pos, 'id' as name, 'int' as data_type, case when k % 3 = 0 then null else 'Key' end as description from m

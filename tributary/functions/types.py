@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Aliases of one type.
-FAMILIES = {
-    "integer": ("int", "integer", "int4", "int32", "mediumint"),
-    "bigint": ("bigint", "int8", "int64", "long"),
-    "smallint": ("smallint", "int2", "int16", "short"),
-    "tinyint": ("tinyint", "int1", "byte", "byteint"),
-    "float": ("float", "float4", "real", "float32"),
-    "double": ("double", "double precision", "float8", "float64"),
-    "decimal": ("decimal", "numeric", "number", "dec"),
-    "text": ("text", "string", "varchar", "character varying", "char", "character", "nvarchar", "nchar", "bpchar"),
-    "boolean": ("boolean", "bool", "bit"),
-    "timestamp": ("timestamp", "timestamp without time zone", "timestamp_ntz", "datetime"),
-    "timestamptz": ("timestamptz", "timestamp with time zone", "timestamp_tz"),
-    "binary": ("binary", "bytea", "varbinary", "bytes", "blob"),
-    "json": ("json", "jsonb", "variant", "super", "object"),
-}
-# Dialects in which whole families are one type.
+# Names of one type everywhere.
+FAMILIES = (
+    ("varchar", "character varying", "text", "string"),
+    ("int", "integer", "int4"),
+    ("bigint", "int8"),
+    ("smallint", "int2"),
+    ("bool", "boolean"),
+    ("float8", "double precision", "double"),
+    ("float4", "real"),
+    ("numeric", "decimal", "dec"),
+    ("timestamp", "timestamp without time zone"),
+    ("timestamptz", "timestamp with time zone"),
+)
+# Names of one type in a dialect, besides.
 DIALECTS = {
-    "snowflake": {"bigint": "decimal", "integer": "decimal", "smallint": "decimal", "tinyint": "decimal", "float": "double"},
-    "bigquery": {"integer": "bigint", "smallint": "bigint", "tinyint": "bigint", "float": "double"},
+    "bigquery": (
+        ("int64", "int", "integer", "int4", "bigint", "int8", "smallint", "int2"),
+        ("float64", "float8", "double precision", "double"),
+        ("bignumeric", "bigdecimal"),
+    ),
+    "snowflake": (
+        ("number", "int", "integer", "int4", "bigint", "int8", "smallint", "int2", "tinyint", "byteint"),
+        ("float", "float4", "float8", "double", "double precision", "real"),
+    ),
 }
 
 
@@ -36,17 +40,25 @@ def type_arguments(data_type: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(data_type, r"\((.*?)\)", 1), r"\s", "")
 
 
-def family(data_type: Column, dialect: str | None = None) -> Column:
+def families(name: Column, dialect: str | None = None) -> Column:
+    """Numbers of the families that a base name is in."""
+    rows = FAMILIES + DIALECTS.get(dialect or "", ())
+    known = sorted({n for row in rows for n in row})
+    table = F.create_map(*[x for n in known for x in (F.lit(n), F.array(*[F.lit(k) for k, row in enumerate(rows) if n in row]))])
+    return F.coalesce(F.element_at(table, name), F.array().cast("array<int>"))
+
+
+def _base(data_type: Column, dialect: str | None) -> Column:
+    """The name; in Snowflake a NUMBER by any name is an integer where its scale is 0 (the default), else a decimal."""
     name = type_name(data_type)
-    merge = DIALECTS.get(dialect or "", {})
-    table = F.create_map(*[F.lit(x) for key, names in FAMILIES.items() for n in names for x in (n, merge.get(key, key))])
-    return F.coalesce(F.element_at(table, name), name)
+    if dialect != "snowflake":
+        return name
+    whole = type_arguments(data_type).rlike(r"^(\d+(,0+)?)?$")
+    return F.when(name.isin("number", "numeric", "decimal", "dec"), F.when(whole, "number").otherwise("numeric")).otherwise(name)
 
 
 def types_equivalent(a: Column, b: Column, dialect: str | None = None) -> Column:
+    """Equal names or names of one family; arguments decide where both sides have them."""
     x, y = type_arguments(a), type_arguments(b)
-    same = (family(a, dialect) == family(b, dialect)) & ((x == "") | (y == "") | (x == y))
-    if dialect == "snowflake":  # an integer is a NUMBER of scale 0
-        whole = lambda t, arg: ~type_name(t).isin("number", "numeric", "decimal", "dec") | arg.rlike(r"^(\d+(,0)?)?$")
-        same = same & ((type_name(a) == type_name(b)) | (whole(a, x) & whole(b, y)) | (family(a) == family(b)))
-    return same
+    m, n = _base(a, dialect), _base(b, dialect)
+    return ((x == "") | (y == "") | (x == y)) & ((m == n) | F.arrays_overlap(families(m, dialect), families(n, dialect)))

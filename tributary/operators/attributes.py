@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.functions import names as N
 from tributary.operators import traverse
 from tributary.plans.bundle import Bundle
+from tributary.session import numbered
 
 
 def degrees(b: Bundle) -> DataFrame:
@@ -200,8 +200,8 @@ def model_list(b: Bundle, group_by: str = "layer", key: str | None = None, query
         d = d.join(downstream_counts(b).select("unique_id", "downstream"), "unique_id")
         order = [F.desc("downstream")]
     inside = [*order, F.col("list_name"), F.col("unique_id")]
-    d = d.withColumn("row_in_group", F.row_number().over(W.partitionBy("grp_rank", "grp").orderBy(*inside)))
-    return d.orderBy("grp_rank", "grp", *inside).select("grp", "grp_rank", "list_name", "unique_id", "row_in_group")
+    d = numbered(d, ["grp_rank", "grp"], inside, "row_in_group")
+    return d.orderBy("grp_rank", "grp", "row_in_group").select("grp", "grp_rank", "list_name", "unique_id", "row_in_group")
 
 
 def full_text(b: Bundle, needle: str) -> DataFrame:

@@ -104,9 +104,23 @@ def gate_results(current: Bundle, base: Bundle | None = None, config: Mapping[st
     """(rank, gate, severity, status, value, bound): pass, fail, warn, skip or off for every gate. A configured gate
     that needs a baseline is skipped without one."""
     spark, config, rows = current.spark, config or {}, []
-    covered = {r["measure"]: r["percent"] for r in attributes.coverage(current).collect()}  # four rows
     changes = written(diff.node_changes(base, current), "changes") if base is not None else None
     reached = written(affected_nodes(current, changes), "affected") if changes is not None else None
+    counted: dict[str, DataFrame | None] = {}
+    if base is not None:
+        counted = {
+            "new_layer_violations": new_layer_violations(base, current), "untested_changes": untested_changes(current, changes),
+            "affected_exposures": reached.where("kind = 'exposure'"), "blast_radius": reached.where("kind <> 'exposure'"),
+            "changed_hubs": changed_hubs(current, changes, (config.get("changed_hubs") or {}).get("min_downstream", HUB)),
+        }
+    counted |= {"breaking_columns": breaking, "docs_drift": drift}
+    # one plan for all values: a row for each gate
+    measures = {"tests": "coverage", "column_tests": "column_coverage", "docs": "doc_coverage"}
+    values = attributes.coverage(current).select(F.col("measure").alias("of"), F.col("percent").cast("long").alias("value"))
+    for gate, found in counted.items():
+        if found is not None and str((config.get(gate) or {}).get("severity", "on")) != "off":
+            values = values.unionByName(found.agg(F.count("*").alias("value")).select(F.lit(gate).alias("of"), "value"))
+    known = {measures.get(r["of"], r["of"]): r["value"] for r in values.collect()}
     for rank, g in enumerate(GATES):
         own = config.get(g.id, {})
         severity = str(own.get("severity", g.severity if g.severity != "off" or g.id not in config else "error"))
@@ -118,23 +132,10 @@ def gate_results(current: Bundle, base: Bundle | None = None, config: Mapping[st
         if g.needs_diff and changes is None:
             rows.append((rank, g.id, severity, "skip", None, bound))
             continue
-        if g.id in ("coverage", "column_coverage", "doc_coverage"):
-            value = covered[{"coverage": "tests", "column_coverage": "column_tests", "doc_coverage": "docs"}[g.id]]
-            bad = value < bound
-        else:
-            found = {
-                "new_layer_violations": lambda: new_layer_violations(base, current),
-                "untested_changes": lambda: untested_changes(current, changes),
-                "breaking_columns": lambda: breaking,
-                "changed_hubs": lambda b=bound: changed_hubs(current, changes, b),
-                "affected_exposures": lambda: reached.where("kind = 'exposure'"),
-                "blast_radius": lambda: reached.where("kind <> 'exposure'"),
-                "docs_drift": lambda: drift,
-            }[g.id]()
-            if found is None:
-                rows.append((rank, g.id, severity, "skip", None, bound))
-                continue
-            value = found.count()
-            bad = value > (bound if g.id == "blast_radius" else 0)
+        if g.id not in known:
+            rows.append((rank, g.id, severity, "skip", None, bound))
+            continue
+        value = known[g.id]
+        bad = value < bound if g.parameter == "min" else value > (bound if g.parameter == "max" else 0)
         rows.append((rank, g.id, severity, ("fail" if severity == "error" else "warn") if bad else "pass", value, bound))
     return spark.createDataFrame(rows, "rank int, gate string, severity string, status string, value long, bound long")

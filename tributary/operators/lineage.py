@@ -8,7 +8,7 @@ their parents. Where text can't be read, names are matched instead.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from tributary.functions import names as N
 from tributary.functions import sql_text as S
 from tributary.operators import lint, traverse
 from tributary.plans.bundle import Bundle
-from tributary.session import written
+from tributary.session import discard, written
 
 EDGES = "from_node string, from_col string, to_node string, to_col string, kind string, confidence string"
 FACTS = (
@@ -103,18 +103,28 @@ def _fact_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
 
 
-def column_lists(b: Bundle, rounds: int = 50) -> DataFrame:
-    """(unique_id, columns) of every node; null where nothing tells."""
-    listed = written(_listed(b), "lists")
-    for _ in range(rounds):
-        open_ = listed.where("columns is null").join(b.node_sql.select("unique_id"), "unique_id", "left_semi")
+def column_lists(b: Bundle) -> DataFrame:
+    """(unique_id, columns) of every node; null where nothing tells.
+
+    Nodes without a list are read in rounds, each once all its parents have been read or tell their lists anyway; one that can't
+    be read hence holds nobody up. There are as many rounds as such nodes follow each other. On a cycle of them nobody is first:
+    their lists stay null."""
+    readable = b.node_sql.select("unique_id").distinct()
+    listed = _listed(b).join(readable.withColumn("text", F.lit(True)), "unique_id", "left")
+    listed = written(listed.select("unique_id", "columns", (F.col("columns").isNull() & F.coalesce("text", F.lit(False))).alias("open")), "lists")
+    for _ in range(traverse.ROUNDS):
+        open_ = listed.where("open").select("unique_id")
         blocked = b.edges.join(open_.select(F.col("unique_id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("unique_id"))
-        ready = _tasks(b, listed).join(open_.select("unique_id"), "unique_id", "left_semi").join(blocked, "unique_id", "left_anti")
-        got = written(ready.mapInPandas(_fact_rows, FACTS).select("unique_id", F.filter("outputs", lambda x: x != "").alias("found")).where("size(found) > 0"), "lists")
-        if got.isEmpty():
-            return listed
-        listed = written(listed.join(got, "unique_id", "left").select("unique_id", F.coalesce("columns", "found").alias("columns")), "lists")
-    return listed
+        ready = written(open_.join(blocked, "unique_id", "left_anti"), "lists-ready")
+        if ready.isEmpty():
+            return listed.select("unique_id", "columns")
+        tasks = _tasks(b, listed.select("unique_id", "columns")).join(ready, "unique_id", "left_semi")
+        got = tasks.mapInPandas(_fact_rows, FACTS).select("unique_id", F.filter("outputs", lambda x: x != "").alias("found")).where("size(found) > 0")
+        after = listed.join(got, "unique_id", "left").join(ready.withColumn("read", F.lit(True)), "unique_id", "left")
+        after = written(after.select("unique_id", F.coalesce("columns", "found").alias("columns"), (F.col("open") & F.col("read").isNull()).alias("open")), "lists")
+        discard(listed, ready)
+        listed = after
+    raise RuntimeError(f"column lists are still incomplete after {traverse.ROUNDS} rounds")
 
 
 def column_edges(b: Bundle, nodes: DataFrame | None = None) -> DataFrame:
@@ -222,14 +232,43 @@ def _without(names, pattern: str):  # noqa: ANN001, ANN202
     return F.filter(names, lambda x: ~x.rlike(pattern))
 
 
+def resolved_references(b: Bundle, projects: Sequence[str] = ()) -> DataFrame:
+    """``reference_calls`` with ``verdict`` and ``target``.
+
+    ``local``: the caller's own package has the name (and the version asked for), ``target`` is its node. ``foreign``: the package
+    named has it, or is one of ``projects``. ``foreign_any``: no package is named and only others have it. ``disabled``:
+    it is only among what is disabled. ``missing``: nobody has it. A package that is named is never replaced by another."""
+    calls = reference_calls(b).withColumn("call", F.monotonically_increasing_id())
+    calls = calls.withColumn("name", F.when(F.col("head") == "source", F.concat_ws(".", "package", "name")).otherwise(F.col("name")))
+    calls = calls.withColumns({
+        "package": F.when(F.col("head") == "ref", F.col("package")), "caller": N.package(F.col("unique_id")), "version": N.normalize_version(F.col("version")),
+    })
+    u = b.universe.select("head", "name", F.col("package").alias("of"), F.col("version").alias("of_version"), "disabled", "uid")
+    key = lambda c: F.coalesce(c, F.lit(""))
+    source, own = F.col("head") == "source", key(F.col("of")) == key(F.col("caller"))
+    asked = F.col("version").isNull() | F.col("version").eqNullSafe(F.col("of_version"))
+    there = F.col("uid").isNotNull() & ~F.col("disabled")
+    seen = calls.join(u, ["head", "name"], "left").groupBy("unique_id", "call", "head", "package", "name", "version", "conditional", "caller").agg(
+        F.coalesce(F.bool_or(there & asked & (source | own)), F.lit(False)).alias("home"),
+        F.coalesce(F.bool_or(there & (F.col("of") == F.col("package"))), F.lit(False)).alias("named"),
+        F.coalesce(F.bool_or(there & ~own), F.lit(False)).alias("others"),
+        F.coalesce(F.bool_or(F.col("disabled") & asked), F.lit(False)).alias("parked"),
+        # of several versions the one asked for, else the greatest; of equal ones the smallest uid
+        F.min(F.when(there & asked & (source | own), F.struct((-F.coalesce(F.col("of_version").try_cast("double"), F.lit(0.0))).alias("v"), "uid"))).alias("best"),
+    )
+    at_home = F.col("package").isNull() | (F.col("package") == F.col("caller"))
+    lost = F.when(F.col("parked"), "disabled").otherwise("missing")
+    verdict = F.when(at_home & F.col("home"), "local").when(F.col("head") == "source", lost)
+    verdict = verdict.when(F.col("package").isNull() & F.col("others"), "foreign_any").when(at_home, lost)
+    verdict = verdict.when(F.col("named") | F.col("package").isin(*projects), "foreign").otherwise(lost)
+    out = seen.withColumn("verdict", verdict)
+    return out.select("unique_id", "head", "package", "name", "version", "conditional", "verdict", F.when(F.col("verdict") == "local", F.col("best.uid")).alias("target"))
+
+
 @lint.rule("unresolved_references", "modeling", "a reference names nothing")
 def unresolved_references(b: Bundle, o: Mapping) -> DataFrame:
-    """Literal calls outside conditional arms whose name isn't in ``universe`` (head, name; default: all nodes)."""
-    universe = o.get("universe")
-    if universe is None:
-        seg = N.segments(F.col("unique_id"))
-        universe = b.nodes.select(F.when(F.col("resource_type") == "source", "source").otherwise("ref").alias("head"), F.when(F.col("resource_type") == "source", F.concat(seg[2], F.lit("."), F.col("name"))).otherwise(F.col("name")).alias("name"))
-    c = reference_calls(b).where("not conditional")
-    c = c.withColumn("name", F.when(F.col("head") == "source", F.concat_ws(".", "package", "name")).otherwise(F.col("name")))
-    lost = c.join(universe.select("head", "name").distinct(), ["head", "name"], "left_anti")
+    """Literal calls outside conditional arms that name nothing, or only what is disabled."""
+    calls = o.get("calls")
+    calls = calls if calls is not None else resolved_references(b, o.get("projects", ()))
+    lost = calls.where("not conditional and verdict in ('missing', 'disabled')")
     return lost.groupBy("unique_id").agg(F.array_sort(F.collect_set("name")).alias("related"))

@@ -2,13 +2,16 @@
 
 A rule is a function of a bundle and its options that returns (unique_id, related): the node it finds fault with, and
 the nodes or names that are to blame. Rules over SQL text read ``facts`` (see ``functions.sql_facts``).
+
+Most rules are conditions on one node, or on the two ends of one edge. They are declared as such (``node_rule``,
+``edge_rule``), so that ``findings`` evaluates all of them in one pass over the nodes and one over the edges.
 """
 
 from __future__ import annotations
 
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,10 @@ from tributary.plans.bundle import Bundle
 
 
 Rule = Callable[[Bundle, Mapping], DataFrame]
+#: A condition on a row, and what is related (null: nothing), from the options.
+NodeTest = Callable[[Mapping], tuple[Column, Column | None]]
+#: A condition on an edge whose ends' columns are named ``p_`` and ``c_``, and the least number of such parents.
+EdgeTest = Callable[[Mapping], tuple[Column, int]]
 
 
 @dataclass(frozen=True)
@@ -32,6 +39,8 @@ class Spec:
     needs: str
     run: Rule
     message: str
+    node: NodeTest | None = None
+    edge: EdgeTest | None = None
 
 
 RULES: dict[str, Spec] = {}
@@ -45,6 +54,56 @@ def rule(id_: str, category: str, message: str, severity: str = "warn", default:
     return add
 
 
+def node_rule(id_: str, category: str, message: str, **more: object) -> Callable[[NodeTest], NodeTest]:
+    def add(f: NodeTest) -> NodeTest:
+        def run(b: Bundle, o: Mapping) -> DataFrame:
+            hit, related = f(o)
+            return _found(_wide(b).where(hit), related)
+
+        rule(id_, category, message, **more)(run)  # type: ignore[arg-type]
+        RULES[id_] = replace(RULES[id_], node=f)
+        return f
+
+    return add
+
+
+def edge_rule(id_: str, category: str, message: str, **more: object) -> Callable[[EdgeTest], EdgeTest]:
+    def add(f: EdgeTest) -> EdgeTest:
+        def run(b: Bundle, o: Mapping) -> DataFrame:
+            hit, least = f(o)
+            out = _ends(b).where(hit).groupBy(F.col("child").alias("unique_id")).agg(F.array_sort(F.collect_set("parent")).alias("related"))
+            return out.where(F.size("related") >= least)
+
+        rule(id_, category, message, **more)(run)  # type: ignore[arg-type]
+        RULES[id_] = replace(RULES[id_], edge=f)
+        return f
+
+    return add
+
+
+_DETAIL = ("description", "access", "contract_enforced", "unique_key", "incremental_strategy", "warn_after", "error_after", "meta", "deprecation_date")
+
+
+def _wide(b: Bundle) -> DataFrame:
+    """Nodes with the details that rules ask for."""
+    return b.nodes.join(b.detail.select("unique_id", F.lit(True).alias("detailed"), *_DETAIL), "unique_id", "left")
+
+
+def _ends(b: Bundle) -> DataFrame:
+    """Edges with what rules ask for of both ends."""
+    columns = ("name", "resource_type", "path", "materialized", "access", "deprecation_date")
+    end = lambda node, p: _wide(b).select(F.col("unique_id").alias(node), *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    return b.edges.join(end("parent", "p"), "parent").join(end("child", "c"), "child")
+
+
+def _is(*types: str, of: str = "resource_type") -> Column:
+    return F.col(of).isin(*types)
+
+
+def _zone(end: str) -> Column:
+    return N.lint_layer(F.col(f"{end}_name"), F.col(f"{end}_path"))
+
+
 def _found(df: DataFrame, related: Column | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     return df.select("unique_id", (related if related is not None else none).alias("related"))
@@ -78,9 +137,9 @@ def direct_join_to_source(b: Bundle, o: Mapping) -> DataFrame:
     return _found(sources.join(_parents(b, _models(b), _models(b)).select("unique_id"), "unique_id", "left_semi"), F.col("related"))
 
 
-@rule("multiple_sources_joined", "modeling", "reads several sources")
-def multiple_sources_joined(b: Bundle, o: Mapping) -> DataFrame:
-    return _found(_parents(b, _models(b), _of(b, "source")).where("size(related) > 1"), F.col("related"))
+@edge_rule("multiple_sources_joined", "modeling", "reads several sources")
+def multiple_sources_joined(o: Mapping) -> tuple[Column, int]:
+    return _is("model", of="c_resource_type") & _is("source", of="p_resource_type"), 2
 
 
 def _fan_out(b: Bundle, parents: DataFrame, children: DataFrame, threshold: int) -> DataFrame:
@@ -95,35 +154,54 @@ def source_fanout(b: Bundle, o: Mapping) -> DataFrame:
     return _fan_out(b, _of(b, "source"), _models(b), o.get("threshold", 2))
 
 
+def _unrecorded(b: Bundle, o: Mapping, side: str) -> DataFrame:
+    """Nodes with parents or children that the recorded graph can't show: cut off by a package scope, or named by a
+    reference (``calls``, see ``lineage.resolved_references``) to which no edge belongs."""
+    cut = b.pruned_adjacent.where(F.col(side) > 0).select("unique_id")
+    calls = o.get("calls")
+    if calls is None:
+        return cut
+    if side == "parents":
+        lost = calls.where("verdict <> 'missing'").join(b.edges.select(F.col("child").alias("unique_id"), F.col("parent").alias("target")), ["unique_id", "target"], "left_anti")
+        return cut.unionByName(lost.select("unique_id")).distinct()
+    lost = calls.where("target is not null").join(b.edges.select(F.col("child").alias("unique_id"), F.col("parent").alias("target")), ["unique_id", "target"], "left_anti")
+    return cut.unionByName(lost.select(F.col("target").alias("unique_id"))).distinct()
+
+
 @rule("model_fanout", "modeling", "feeds many models that nothing else reads")
 def model_fanout(b: Bundle, o: Mapping) -> DataFrame:
+    """A leaf feeds no data itself, as far as can be known; what may read the hub counts as reading it."""
     data = _of(b, *N.DATA_TYPES).select(F.col("unique_id").alias("child"))
-    inner = b.edges.join(data, "child", "left_semi").select(F.col("parent").alias("unique_id"))
+    inner = b.edges.join(data, "child", "left_semi").select(F.col("parent").alias("unique_id")).unionByName(_unrecorded(b, o, "children"))
+    if o.get("calls") is not None:
+        possible = o["calls"].where("target is not null").select(F.col("target").alias("parent"), F.col("unique_id").alias("child"))
+        b = b.with_(edges=b.edges.unionByName(possible).distinct())
     return _fan_out(b, _models(b), _models(b).join(inner, "unique_id", "left_anti"), o.get("threshold", 5))
 
 
 @rule("root_models", "modeling", "has no parents")
 def root_models(b: Bundle, o: Mapping) -> DataFrame:
-    return _found(_models(b).join(b.edges.select(F.col("child").alias("unique_id")), "unique_id", "left_anti"))
+    out = _models(b).join(b.edges.select(F.col("child").alias("unique_id")), "unique_id", "left_anti")
+    return _found(out.join(_unrecorded(b, o, "parents"), "unique_id", "left_anti"))
 
 
 @rule("rejoining_upstream", "modeling", "its only child also reads its parent")
 def rejoining_upstream(b: Bundle, o: Mapping) -> DataFrame:
+    """Any node that carries data, with one child that does; consumers of other kinds don't count as uses."""
     data = _of(b, *N.DATA_TYPES).select("unique_id")
     e = traverse.pruned(b.edges, data)
     only = e.groupBy(F.col("parent").alias("b")).agg(F.count("*").alias("n"), F.min("child").alias("c")).where("n = 1").select("b", "c")
-    only = only.join(_models(b).select(F.col("unique_id").alias("b")), "b", "left_semi")
+    only = only.join(_unrecorded(b, o, "children").select(F.col("unique_id").alias("b")), "b", "left_anti")
     up = e.select(F.col("parent").alias("a"), F.col("child").alias("b"))
     both = up.join(only, "b").join(e.select(F.col("parent").alias("a"), F.col("child").alias("c")), ["a", "c"], "left_semi")
-    if o.get("ignore"):
-        both = both.join(select(b, o["ignore"]).withColumnRenamed("unique_id", "a"), "a", "left_anti")
+    for spec in o.get("ignore_shared_parents", ()):
+        both = both.join(select(b, spec).withColumnRenamed("unique_id", "a"), "a", "left_anti")
     return _found(both.groupBy(F.col("b").alias("unique_id")).agg(F.array_sort(F.array_union(F.collect_set("a"), F.collect_set("c"))).alias("related")), F.col("related"))
 
 
-@rule("marts_depend_on_source", "modeling", "reads a source past staging")
-def marts_depend_on_source(b: Bundle, o: Mapping) -> DataFrame:
-    late = _models(b).where(N.lint_layer(F.col("name"), F.col("path")).isin("marts", "intermediate"))
-    return _parents(b, late, _of(b, "source"))
+@edge_rule("marts_depend_on_source", "modeling", "reads a source past staging")
+def marts_depend_on_source(o: Mapping) -> tuple[Column, int]:
+    return _is("model", of="c_resource_type") & _zone("c").isin("marts", "intermediate") & _is("source", of="p_resource_type"), 1
 
 
 @rule("missing_primary_key_tests", "testing", "no test guarantees a key", severity="error")
@@ -135,18 +213,22 @@ def missing_primary_key_tests(b: Bundle, o: Mapping) -> DataFrame:
     return _found(out)
 
 
-@rule("public_models_without_contract", "governance", "public without a contract", severity="error")
-def public_models_without_contract(b: Bundle, o: Mapping) -> DataFrame:
-    return _found(_documented(b, "access", "contract_enforced").where("resource_type = 'model' and access = 'public' and not coalesce(contract_enforced, false)"))
+@node_rule("public_models_without_contract", "governance", "public without a contract", severity="error")
+def public_models_without_contract(o: Mapping) -> tuple[Column, Column | None]:
+    return F.expr("detailed and resource_type = 'model' and access = 'public' and not coalesce(contract_enforced, false)"), None
+
 
+def _undocumented(*types: str) -> Column:
+    return F.col("detailed") & _is(*types) & F.col("description").isNull()
 
-@rule("undocumented_models", "documentation", "has no description")
-def undocumented_models(b: Bundle, o: Mapping) -> DataFrame:
-    return _found(_documented(b, "description").where(F.col("resource_type").isin(*o.get("types", ("model",))) & F.col("description").isNull()))
 
+@node_rule("undocumented_models", "documentation", "has no description")
+def undocumented_models(o: Mapping) -> tuple[Column, Column | None]:
+    return _undocumented(*o.get("types", ("model",))), None
 
-@rule("naming_conventions", "structure", "its name lacks its layer's prefix")
-def naming_conventions(b: Bundle, o: Mapping) -> DataFrame:
+
+@node_rule("naming_conventions", "structure", "its name lacks its layer's prefix")
+def naming_conventions(o: Mapping) -> tuple[Column, Column | None]:
     prefixes = o.get("prefixes", N.PREFIXES)
     at = N.lint_layer(F.col("name"), F.col("path"), prefixes)
     wrong = F.lit(False)
@@ -155,7 +237,7 @@ def naming_conventions(b: Bundle, o: Mapping) -> DataFrame:
         for s in starts:
             good = good | F.col("name").startswith(s)
         wrong = wrong | ((at == layer) & ~good)
-    return _found(_models(b).where(wrong))
+    return _is("model") & wrong, None
 
 
 @rule("layer_violation", "modeling", "reads a later layer")
@@ -178,10 +260,9 @@ def duplicate_sources(b: Bundle, o: Mapping) -> DataFrame:
     return pairs.groupBy("unique_id").agg(F.array_sort(F.collect_set("other")).alias("related"))
 
 
-@rule("staging_depends_on_staging", "modeling", "staging reads staging")
-def staging_depends_on_staging(b: Bundle, o: Mapping) -> DataFrame:
-    staging = _models(b).where(N.lint_layer(F.col("name"), F.col("path")) == "staging")
-    return _parents(b, staging, staging)
+@edge_rule("staging_depends_on_staging", "modeling", "staging reads staging")
+def staging_depends_on_staging(o: Mapping) -> tuple[Column, int]:
+    return _is("model", of="c_resource_type") & _is("model", of="p_resource_type") & (_zone("c") == "staging") & (_zone("p") == "staging"), 1
 
 
 @rule("too_many_joins", "modeling", "reads too many parents")
@@ -201,24 +282,22 @@ def chained_views(b: Bundle, o: Mapping) -> DataFrame:
     return _found(ends, F.array((F.col("col") + 1).cast("string")))
 
 
-@rule("exposure_parents_materializations", "performance", "an exposure reads a source or a view")
-def exposure_parents_materializations(b: Bundle, o: Mapping) -> DataFrame:
-    slow = b.nodes.where("resource_type = 'source' or (resource_type = 'model' and materialized in ('view', 'ephemeral'))")
-    return _parents(b, _of(b, "exposure"), slow)
+@edge_rule("exposure_parents_materializations", "performance", "an exposure reads a source or a view")
+def exposure_parents_materializations(o: Mapping) -> tuple[Column, int]:
+    slow = F.expr("p_resource_type = 'source' or (p_resource_type = 'model' and p_materialized in ('view', 'ephemeral'))")
+    return _is("exposure", of="c_resource_type") & slow, 1
 
 
-@rule("exposures_dependent_on_private_models", "governance", "an exposure reads a model that isn't public")
-def exposures_dependent_on_private_models(b: Bundle, o: Mapping) -> DataFrame:
+@edge_rule("exposures_dependent_on_private_models", "governance", "an exposure reads a model that isn't public")
+def exposures_dependent_on_private_models(o: Mapping) -> tuple[Column, int]:
     allowed = o.get("allowed", ("public",))
-    if not allowed:
-        return _found(b.nodes.limit(0))
-    closed = _documented(b, "access").where((F.col("resource_type") == "model") & F.col("access").isNotNull() & ~F.col("access").isin(*allowed))
-    return _parents(b, _of(b, "exposure"), closed)
+    closed = _is("model", of="p_resource_type") & F.col("p_access").isNotNull() & ~F.col("p_access").isin(*allowed)
+    return (_is("exposure", of="c_resource_type") & closed if allowed else F.lit(False)), 1
 
 
-@rule("undocumented_sources", "documentation", "has no description")
-def undocumented_sources(b: Bundle, o: Mapping) -> DataFrame:
-    return undocumented_models(b, {"types": ("source",)})
+@node_rule("undocumented_sources", "documentation", "has no description")
+def undocumented_sources(o: Mapping) -> tuple[Column, Column | None]:
+    return _undocumented("source"), None
 
 
 @rule("undocumented_columns", "documentation", "columns without description")
@@ -227,17 +306,17 @@ def undocumented_columns(b: Bundle, o: Mapping) -> DataFrame:
     return _found(bare.join(b.nodes.select("unique_id"), "unique_id", "left_semi"), F.transform("c", lambda x: x["name"]))
 
 
-@rule("model_directories", "structure", "name and directory disagree on the layer")
-def model_directories(b: Bundle, o: Mapping) -> DataFrame:
+@node_rule("model_directories", "structure", "name and directory disagree on the layer")
+def model_directories(o: Mapping) -> tuple[Column, Column | None]:
     by_name, by_path = N.prefix_layer(F.col("name")), N.directory_layer(F.col("path"))
-    return _found(_models(b).where(by_name != by_path), F.array(by_name, by_path))
+    return _is("model") & (by_name != by_path), F.array(by_name, by_path)
 
 
-@rule("required_meta_keys", "governance", "lacks meta keys")
-def required_meta_keys(b: Bundle, o: Mapping) -> DataFrame:
+@node_rule("required_meta_keys", "governance", "lacks meta keys")
+def required_meta_keys(o: Mapping) -> tuple[Column, Column | None]:
     keys = F.array(*[F.lit(k) for k in o.get("keys", ())]).cast("array<string>")
     lack = F.array_except(keys, F.coalesce(F.map_keys("meta"), F.array().cast("array<string>")))
-    return _found(_documented(b, "meta").where("resource_type = 'model'").where(F.size(lack) > 0), lack)
+    return F.col("detailed") & _is("model") & (F.size(lack) > 0), lack
 
 
 @rule("contract_columns_without_type", "governance", "contracted columns without a type")
@@ -246,15 +325,20 @@ def contract_columns_without_type(b: Bundle, o: Mapping) -> DataFrame:
     return _found(untyped.join(b.detail.where("contract_enforced").select("unique_id"), "unique_id", "left_semi").join(_models(b).select("unique_id"), "unique_id", "left_semi"), F.col("related"))
 
 
-@rule("incremental_without_unique_key", "modeling", "incremental without a key")
-def incremental_without_unique_key(b: Bundle, o: Mapping) -> DataFrame:
-    d = _documented(b, "unique_key", "incremental_strategy").where("resource_type = 'model' and materialized = 'incremental' and coalesce(size(unique_key), 0) = 0")
-    return _found(d.where(~F.coalesce(F.lower("incremental_strategy"), F.lit("")).isin("append", "insert_overwrite", "microbatch")))
+@node_rule("incremental_without_unique_key", "modeling", "incremental without a key")
+def incremental_without_unique_key(o: Mapping) -> tuple[Column, Column | None]:
+    keyless = F.expr("detailed and resource_type = 'model' and materialized = 'incremental' and coalesce(size(unique_key), 0) <= 0")
+    return keyless & ~F.coalesce(F.lower("incremental_strategy"), F.lit("")).isin("append", "insert_overwrite", "microbatch"), None
+
+
+def has_freshness() -> Column:
+    """A limit on either side with a count."""
+    return F.expr("warn_after.count is not null or error_after.count is not null")
 
 
-@rule("sources_without_freshness", "testing", "source without a freshness limit")
-def sources_without_freshness(b: Bundle, o: Mapping) -> DataFrame:
-    return _found(_documented(b, "warn_after", "error_after").where("resource_type = 'source' and warn_after.count is null and error_after.count is null"))
+@node_rule("sources_without_freshness", "testing", "source without a freshness limit")
+def sources_without_freshness(o: Mapping) -> tuple[Column, Column | None]:
+    return F.col("detailed") & _is("source") & ~has_freshness(), None
 
 
 @rule("forbidden_patterns", "sql", "SQL matches a forbidden pattern", needs="sql")
@@ -294,10 +378,9 @@ def unused_models(b: Bundle, o: Mapping) -> DataFrame:
     return _found(out.join(b.detail.where("size(semantic_dependents) > 0").select("unique_id"), "unique_id", "left_anti"))
 
 
-@rule("references_deprecated_model", "governance", "reads a deprecated model")
-def references_deprecated_model(b: Bundle, o: Mapping) -> DataFrame:
-    old = _documented(b, "deprecation_date").where("resource_type = 'model'").where(N.present(F.col("deprecation_date")))
-    return _parents(b, b.nodes, old)
+@edge_rule("references_deprecated_model", "governance", "reads a deprecated model")
+def references_deprecated_model(o: Mapping) -> tuple[Column, int]:
+    return _is("model", of="p_resource_type") & N.present(F.col("p_deprecation_date")), 1
 
 
 def _tail(code: Column) -> Column:
@@ -313,9 +396,9 @@ def trailing_semicolon(b: Bundle, o: Mapping) -> DataFrame:
     return _found(sql.where(_tail(F.col("raw_code")).endswith(";")))
 
 
-@rule("undocumented_exposures", "documentation", "has no description", default=False)
-def undocumented_exposures(b: Bundle, o: Mapping) -> DataFrame:
-    return undocumented_models(b, {"types": ("exposure",)})
+@node_rule("undocumented_exposures", "documentation", "has no description", default=False)
+def undocumented_exposures(o: Mapping) -> tuple[Column, Column | None]:
+    return _undocumented("exposure"), None
 
 
 @rule("model_too_long", "structure", "too many lines", default=False)
@@ -330,13 +413,13 @@ def model_too_long(b: Bundle, o: Mapping) -> DataFrame:
 ALLOWED = {"staging": ("view", "ephemeral"), "intermediate": ("view", "ephemeral", "table", "incremental"), "marts": ("table", "incremental", "view")}
 
 
-@rule("layer_materializations", "performance", "materialized against its layer's list", default=False)
-def layer_materializations(b: Bundle, o: Mapping) -> DataFrame:
+@node_rule("layer_materializations", "performance", "materialized against its layer's list", default=False)
+def layer_materializations(o: Mapping) -> tuple[Column, Column | None]:
     at, bad = N.lint_layer(F.col("name"), F.col("path")), F.lit(False)
     for layer, allowed in o.get("allowed", ALLOWED).items():
         if allowed:
             bad = bad | ((at == layer) & ~F.col("materialized").isin(*allowed))
-    return _found(_models(b).where("materialized is not null").where(bad), F.array("materialized"))
+    return _is("model") & F.col("materialized").isNotNull() & bad, F.array("materialized")
 
 
 @rule("models_without_unit_tests", "testing", "has no unit test", default=False)
@@ -380,11 +463,16 @@ def severity_of(spec: Spec, config: Mapping) -> str:
     return spec.severity if on else "off"
 
 
-def findings(b: Bundle, config: Mapping | None = None, facts: DataFrame | None = None, only: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+def findings(b: Bundle, config: Mapping | None = None, facts: DataFrame | None = None, only: list[str] | None = None, calls: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """All findings (rule_rank, rule, category, severity, unique_id, related, message) of the rules that are on, in
-    registry order, and (rule, why) of those that were skipped for want of input."""
-    config, out, skipped = config or {}, None, []
+    registry order, and (rule, why) of those that were skipped for want of input. ``facts`` and ``calls`` (see ``lineage``)
+    should be written tables, as several rules read them."""
+    config, skipped, parts = config or {}, [], []
+    on_nodes: list[Column] = []
+    on_edges: list[tuple[int, Column, int]] = []
     have = {"graph": True, "sql": True, "facts": facts is not None, "catalog": not b.catalog_columns.isEmpty()}
+    running: dict[int, tuple[Spec, str]] = {}
+    related = lambda c: (c if c is not None else F.array()).cast("array<string>")
     for rank, spec in enumerate(RULES.values()):
         severity = severity_of(spec, config)
         if severity == "off" or (only and spec.id not in only):
@@ -393,15 +481,31 @@ def findings(b: Bundle, config: Mapping | None = None, facts: DataFrame | None =
             skipped.append((spec.id, f"needs {spec.needs}"))
             continue
         options = dict(config.get("rules", {}).get(spec.id, {}) if isinstance(config.get("rules", {}).get(spec.id), Mapping) else {})
-        if facts is not None:
-            options["facts"] = facts
-        part = spec.run(b, options).select(
-            F.lit(rank).alias("rule_rank"), F.lit(spec.id).alias("rule"), F.lit(spec.category).alias("category"), F.lit(severity).alias("severity"),
-            "unique_id", "related", F.lit(spec.message).alias("message"),
-        )
-        out = part if out is None else out.unionByName(part)
-    empty = b.spark.createDataFrame([], "rule_rank int, rule string, category string, severity string, unique_id string, related array<string>, message string")
-    return (empty if out is None else out), skipped
+        running[rank] = (spec, severity)
+        if spec.node is not None:
+            hit, why = spec.node(options)
+            on_nodes.append(F.when(hit, F.struct(F.lit(rank).alias("rule_rank"), related(why).alias("related"))))
+        elif spec.edge is not None:
+            hit, least = spec.edge(options)
+            on_edges.append((rank, hit, least))
+        else:
+            more = {k: v for k, v in (("facts", facts), ("calls", calls)) if v is not None}
+            parts.append(spec.run(b, options | more).select(F.lit(rank).alias("rule_rank"), "unique_id", "related"))
+    if on_nodes:
+        hits = F.filter(F.array(*on_nodes), lambda x: x.isNotNull())
+        parts.append(_wide(b).select("unique_id", F.inline(hits)).select("rule_rank", "unique_id", "related"))
+    if on_edges:
+        hits = F.filter(F.array(*[F.when(hit, F.lit(rank)) for rank, hit, _ in on_edges]), lambda x: x.isNotNull())
+        least = F.create_map(*[F.lit(x) for rank, _, n in on_edges for x in (rank, n)])
+        found = _ends(b).select("parent", "child", F.explode(hits).alias("rule_rank")).groupBy("rule_rank", F.col("child").alias("unique_id"))
+        parts.append(found.agg(F.array_sort(F.collect_set("parent")).alias("related")).where(F.size("related") >= least[F.col("rule_rank")]))
+    out = b.spark.createDataFrame([], "rule_rank int, unique_id string, related array<string>")
+    for part in parts:
+        out = out.unionByName(part)
+    rows = [(rank, spec.id, spec.category, severity, spec.message) for rank, (spec, severity) in running.items()]
+    named = b.spark.createDataFrame(rows, "rule_rank int, rule string, category string, severity string, message string")  # one row a rule
+    out = out.join(F.broadcast(named), "rule_rank").select("rule_rank", "rule", "category", "severity", "unique_id", "related", "message")
+    return out, skipped
 
 
 def suppressed(b: Bundle, found: DataFrame, exclude: Mapping[str, str] | None = None) -> DataFrame:

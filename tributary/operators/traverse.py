@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tributary.session import written
+from tributary.session import discard, numbered, settled, written
 
 ROUNDS = 10_000
 
@@ -28,7 +28,7 @@ def pruned(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, depth: int | None = None, keep_seeds: bool = False) -> DataFrame:
     """(seed, unique_id, depth) of all nodes that ``seeds`` (seed, unique_id) reach along ``edges``; depth is the least
     number of hops. A seed's own node is left out, even on a cycle, unless ``keep_seeds`` (then at depth 0)."""
-    edges = edges.select("parent", "child")
+    edges = settled(edges, "walk-edges")
     start = written(seeds.select("seed", "unique_id").distinct().withColumn("depth", F.lit(0)), "walk")
     frontier, levels = start, [start]
     for level in range(1, (depth if depth is not None else ROUNDS) + 1):
@@ -44,7 +44,9 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int | None = None, keep_seed
             merged = levels[0]
             for part in levels[1:]:
                 merged = merged.unionByName(part)
-            levels = [written(merged, "walk")]
+            merged = written(merged, "walk")
+            discard(*levels[:-1])
+            levels = [merged]
     else:
         if depth is None:
             raise RuntimeError(f"the walk goes on after {ROUNDS} rounds")
@@ -74,23 +76,35 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, up: bool = Tr
 
 
 def layering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(unique_id, col): roots 0, every other node one more than its highest parent; at most nodes + 1 rounds, so a
-    cycle ends there."""
-    most = nodes.count() + 1
-    now = written(nodes.select("unique_id", F.lit(0).alias("col")), "layering")
-    for _ in range(most):
-        pushed = edges.join(now, F.col("parent") == F.col("unique_id")).groupBy(F.col("child").alias("unique_id")).agg((F.max("col") + 1).alias("to"))
-        nexts = written(now.join(pushed, "unique_id", "left").select("unique_id", F.greatest("col", F.coalesce("to", F.lit(0))).alias("col"), (F.coalesce("to", F.lit(0)) > F.col("col")).alias("moved")), "layering")
-        now = nexts.select("unique_id", "col")
-        if nexts.where("moved").isEmpty():
+    """(unique_id, col): roots 0, every other node one more than its highest parent.
+
+    Nodes are peeled off: each round places those whose parents are all placed, so there are as many rounds as layers and an
+    edge is used once. What is left when nothing can be placed is on or below a cycle. There the longest path has no end;
+    such nodes get the column that as many rounds as there are nodes would push them to: nodes + 1."""
+    left = settled(pruned(edges.select("parent", "child"), nodes), "layering-edges")
+    open_ = written(nodes.select("unique_id"), "layering")
+    done = None
+    for col in range(ROUNDS):
+        ready = written(open_.join(left.select(F.col("child").alias("unique_id")).distinct(), "unique_id", "left_anti"), "layering")
+        if ready.isEmpty():
             break
-    return now
+        rest = open_.join(ready, "unique_id", "left_anti")
+        placed = ready.withColumn("col", F.lit(col))
+        done = placed if done is None else done.unionByName(placed)
+        open_ = written(rest, "layering")
+        if open_.isEmpty():
+            break
+        left = written(left.join(ready.withColumnRenamed("unique_id", "parent"), "parent", "left_anti"), "layering-edges")
+    stuck = open_.withColumn("col", F.lit(nodes.count() + 1)) if not open_.isEmpty() else None
+    out = done if stuck is None else stuck if done is None else done.unionByName(stuck)
+    return out if out is not None else nodes.select("unique_id", F.lit(0).alias("col"))
 
 
 def longest_chains(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
     """(unique_id, weight, hops, next): from each node the chain downwards with the greatest weight, then the most
     hops, then the smallest next node. Without ``weight`` (a column of ``nodes``) only hops count. Acyclic graphs."""
     own = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0)
+    edges = settled(edges, "chain-edges")
     base = written(nodes.select("unique_id", own.alias("own")), "chains")
     now = base.select("unique_id", F.col("own").alias("weight"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("next"))
     for _ in range(ROUNDS):
@@ -113,14 +127,21 @@ def longest_chains(nodes: DataFrame, edges: DataFrame, weight: str | None = None
 
 
 def longest_chain(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> list[str]:
-    """The nodes of the best chain of all, ties to the smallest start. A chain is as long as the graph is deep."""
+    """The nodes of the best chain of all, ties to the smallest start. A chain is as long as the graph is deep; it is read
+    by jumps of 1, 2, 4, ... nodes, so by few joins."""
     chains = longest_chains(nodes, edges, weight)
     first = chains.orderBy(F.desc("weight"), F.desc("hops"), "unique_id").first()
-    path, at = [], first and first["unique_id"]
-    while at is not None:
-        path.append(at)
-        at = chains.where(F.col("unique_id") == at).first()["next"]
-    return path
+    if first is None:
+        return []
+    jump = written(chains.where("next is not null").select("unique_id", "next"), "jump")
+    jumps = [jump]
+    while (1 << len(jumps)) <= first["hops"]:
+        to = jumps[-1].select(F.col("unique_id").alias("next"), F.col("next").alias("beyond"))
+        jumps.append(written(jumps[-1].join(to, "next").select("unique_id", F.col("beyond").alias("next")), "jump"))
+    on_path = chains.where(F.col("unique_id") == first["unique_id"]).select("unique_id")
+    for jump in reversed(jumps):
+        on_path = written(on_path.unionByName(on_path.join(jump, "unique_id").select(F.col("next").alias("unique_id"))).distinct(), "path")
+    return [r["unique_id"] for r in chains.join(on_path, "unique_id", "left_semi").orderBy(F.desc("hops")).collect()]
 
 
 def shortest_path(edges: DataFrame, start: str, cursor: str) -> list[str]:
@@ -129,7 +150,7 @@ def shortest_path(edges: DataFrame, start: str, cursor: str) -> list[str]:
     if start == cursor:
         return [cursor]
     spark = edges.sparkSession
-    both = edges.select("parent", "child").unionByName(turned(edges)).distinct()
+    both = written(edges.select("parent", "child").unionByName(turned(edges)).distinct(), "path-edges")
     frontier = written(spark.createDataFrame([(start, 0)], "unique_id string, rank int"), "path")
     seen, previous = frontier.select("unique_id"), []
     for _ in range(ROUNDS):
@@ -138,8 +159,8 @@ def shortest_path(edges: DataFrame, start: str, cursor: str) -> list[str]:
         # found first: by the predecessor's rank, then by name
         ranked = found.select(F.col("child").alias("unique_id"), F.col("by.parent").alias("before"), F.struct("by.rank", "child").alias("key"))
         keyed = written(ranked, "path")
-        # one level of one search: bounded by the nodes at that distance from the start
-        frontier = written(keyed.select("unique_id", F.row_number().over(W.orderBy("key")).alias("rank")), "path")
+        level = numbered(keyed.select("unique_id", "key", F.lit(0).alias("level")), ["level"], [F.col("key")], "rank")
+        frontier = written(level.select("unique_id", "rank"), "path")
         if frontier.isEmpty():
             return []
         previous.append(keyed)

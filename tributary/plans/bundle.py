@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FRESHNESS = "struct<count:bigint,period:string>"
 CONSTRAINT = "struct<type:string,name:string,expression:string,to:string,to_columns:array<string>,columns:array<string>>"
@@ -35,6 +36,8 @@ SCHEMAS = {
     "catalog_stats": "unique_id string, stat string, value string",
     "run_results": "unique_id string, status string, execution_time double",
     "pruned_adjacent": "unique_id string, parents bigint, children bigint",
+    # what references can name, captured before any pruning; its uid isn't called unique_id, so pruning leaves it whole
+    "universe": "head string, name string, package string, version string, disabled boolean, uid string",
 }
 
 
@@ -55,6 +58,7 @@ class Bundle:
     catalog_stats: DataFrame
     run_results: DataFrame
     pruned_adjacent: DataFrame
+    universe: DataFrame
     root_project: str | None = None
     adapter_type: str | None = None
     overview: str | None = None
@@ -67,9 +71,23 @@ class Bundle:
         return replace(self, **{f.name: change(f.name, getattr(self, f.name)) for f in fields(self) if f.name in SCHEMAS})
 
 
+def universe_of(nodes: DataFrame) -> DataFrame:
+    """What references can name: ``ref`` the models, seeds and snapshots, ``source`` the sources as ``source.table``."""
+    seg = F.split("unique_id", r"\.")
+    source = F.col("resource_type") == "source"
+    refable = nodes.where(F.col("resource_type").isin("model", "seed", "snapshot", "source") & (F.size(seg) > 2))
+    return refable.select(
+        F.when(source, "source").otherwise("ref").alias("head"), F.when(source, F.concat(seg[2], F.lit("."), "name")).otherwise(F.col("name")).alias("name"),
+        seg[1].alias("package"), F.when((F.col("resource_type") == "model") & (F.size(seg) == 4), F.regexp_replace(seg[3], "^[vV]", "")).alias("version"),
+        F.lit(False).alias("disabled"), F.col("unique_id").alias("uid"),
+    )
+
+
 def bundle(spark: SparkSession, nodes: DataFrame, edges: DataFrame, **more: object) -> Bundle:
-    """A bundle with empty tables for all that aren't given. ``edges`` are made distinct."""
-    known: dict[str, object] = {"nodes": nodes, "edges": edges.select("parent", "child").distinct()} | more
+    """A bundle with empty tables for all that aren't given. ``edges`` are made distinct, but for a written table, which is
+    taken to be so. The reference universe is by default what ``nodes`` names."""
+    settled = edges if hasattr(edges, "_written_at") else edges.select("parent", "child").distinct()
+    known: dict[str, object] = {"nodes": nodes, "edges": settled, "universe": universe_of(nodes)} | more
     for name, schema in SCHEMAS.items():
         if name not in known:
             known[name] = spark.createDataFrame([], schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import names as N
 from tributary.operators import traverse
-from tributary.plans.bundle import CONSTRAINT, FRESHNESS, SCHEMAS, Bundle, bundle
+from tributary.plans.bundle import CONSTRAINT, FRESHNESS, SCHEMAS, Bundle, bundle, universe_of
 from tributary.session import written
 
 _COLUMN = f"struct<name:string,data_type:string,description:string,constraints:array<{CONSTRAINT}>>"
@@ -35,7 +35,7 @@ MANIFEST = (
     "struct<metadata:struct<project_name:string,adapter_type:string>,"
     f"nodes:map<string,{NODE}>,sources:map<string,{SOURCE}>,exposures:map<string,{EXPOSURE}>,semantic_models:map<string,{SEMANTIC}>,metrics:map<string,{SEMANTIC}>,"
     f"saved_queries:map<string,{SEMANTIC}>,unit_tests:map<string,{UNIT_TEST}>,macros:map<string,{MACRO}>,docs:map<string,struct<block_contents:string,package_name:string>>,"
-    "parent_map:map<string,array<string>>,child_map:map<string,array<string>>>"
+    "disabled:map<string,string>,parent_map:map<string,array<string>>,child_map:map<string,array<string>>>"
 )
 # Resource types that are known but not handled in full.
 UNSUPPORTED = ("rpc", "sql_operation", "sql operation", "function", "fixture", "group", "doc", "macro")
@@ -107,6 +107,12 @@ def from_document(text: DataFrame) -> Bundle:
     kinds = {r["resource_type"]: r["n"] for r in keep.groupBy(F.col("n.resource_type").alias("resource_type")).agg(F.count("*").alias("n")).collect()}
     warnings = [f"{n} nodes of {'unsupported' if k in UNSUPPORTED else 'unknown'} type {k}" for k, n in sorted(kinds.items(), key=lambda x: str(x[0])) if k not in HANDLED]
     macros = _items(doc, "macros")
+    parked = doc.select(F.explode(F.map_keys("disabled")).alias("unique_id")).where("size(split(unique_id, '[.]')) between 3 and 4")
+    seg = F.split("unique_id", r"\.")
+    parked = parked.select("unique_id", F.when(seg[0] == "source", F.get(seg, 3)).otherwise(seg[2]).alias("name"), seg[0].alias("resource_type"))
+    # tests, analyses and operations answer a call by name too, though they are no nodes of the graph
+    other = every.where(F.col("n.resource_type").isin(*N.EXCLUDED_TYPES)).select("unique_id", F.col("n.name").alias("name"), F.lit("seed").alias("resource_type"))
+    universe = universe_of(nodes.select("unique_id", "name", "resource_type").unionByName(other)).unionByName(universe_of(parked).withColumn("disabled", F.lit(True)))
     return bundle(
         spark, nodes, edges,
         detail=written(_details(doc, keep, terminals), "detail"),
@@ -117,7 +123,7 @@ def from_document(text: DataFrame) -> Bundle:
         macros=macros.select(F.col("unique_id").alias("uid"), F.col("n.name").alias("name"), F.col("n.macro_sql").alias("sql"), F.transform(F.coalesce("n.arguments", F.array().cast("array<struct<name:string>>")), lambda a: a["name"]).alias("params")),
         macro_edges=macros.select(F.col("unique_id").alias("caller"), F.explode("n.depends_on.macros").alias("callee")),
         node_macros=keep.select("unique_id", F.explode("n.depends_on.macros").alias("macro_uid")),
-        root_project=root, adapter_type=info["adapter_type"], overview=overview, warnings=warnings,
+        universe=written(universe, "universe"), root_project=root, adapter_type=info["adapter_type"], overview=overview, warnings=warnings,
     )
 
 
@@ -221,14 +227,33 @@ def run_results_document(text: DataFrame) -> DataFrame:
     return last.select("unique_id", F.col("r.status").alias("status"), F.col("r.execution_time").alias("execution_time"))
 
 
-def with_compiled(b: Bundle, folder: str) -> Bundle:
-    """Compiled text from ``folder``/package/original path for nodes that have none; stale where the project's own
-    file is newer than it. Paths that climb out of the folder match nothing, since files are listed, not opened by name."""
-    spark = b.spark
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """at (path below ``folder``), modificationTime and text of the SQL files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").load(folder)
     root = F.lit("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/")
-    found = files.select(F.substring_index("path", root, -1).alias("at"), F.decode("content", "UTF-8").alias("text"))
-    own = b.detail.select("unique_id", F.concat("package_name", F.lit("/"), "original_file_path").alias("at"))
-    joined = b.nodes.where(F.col("resource_type").isin("model", "snapshot")).select("unique_id").join(own, "unique_id").join(found, "at").select("unique_id", "text")
-    sql = b.node_sql.join(joined, "unique_id", "full_outer")
-    return b.with_(node_sql=sql.select("unique_id", "raw_code", F.coalesce("compiled_code", "text").alias("compiled_code"), F.coalesce("stale", F.lit(False)).alias("stale")))
+    return files.select(F.substring_index("path", root, -1).alias("at"), "modificationTime", F.decode("content", "UTF-8").alias("text"))
+
+
+def with_compiled(b: Bundle, folder: str, project_dir: str | None = None) -> Bundle:
+    """Compiled text from ``folder``/package/original path for nodes that have none. Paths that climb out of the folder match
+    nothing, since files are listed, not opened by name.
+
+    With ``project_dir``, text is stale where the node's own file is newer than the compiled one. The project's nodes have theirs
+    below the project's folder, those of other packages below ``dbt_packages`` or ``dbt_internal_packages`` there and nowhere
+    else; a file that isn't found tells nothing."""
+    found = _files(b.spark, folder).withColumnsRenamed({"modificationTime": "compiled_at"})
+    own = b.detail.select("unique_id", F.concat(F.coalesce("package_name", F.lit(b.root_project)), F.lit("/"), "original_file_path").alias("at"), "package_name", "original_file_path")
+    joined = b.nodes.where(F.col("resource_type").isin("model", "snapshot")).select("unique_id").join(own, "unique_id").join(found, "at")
+    if project_dir is not None:
+        local = F.col("package_name").isNull() | (F.col("package_name") == F.lit(b.root_project))
+        places = F.when(local, F.array("original_file_path")).otherwise(
+            F.array(*[F.concat(F.lit(f"{d}/"), "package_name", F.lit("/"), "original_file_path") for d in ("dbt_packages", "dbt_internal_packages")])
+        )
+        sources = _files(b.spark, project_dir).select(F.col("at").alias("place"), "modificationTime")
+        newer = joined.select("unique_id", "compiled_at", F.explode(places).alias("place")).join(sources, "place").where("modificationTime > compiled_at")
+        joined = joined.join(newer.select("unique_id").distinct().withColumn("newer", F.lit(True)), "unique_id", "left")
+    else:
+        joined = joined.withColumn("newer", F.lit(False))
+    sql = b.node_sql.join(joined.select("unique_id", "text", F.coalesce("newer", F.lit(False)).alias("newer")), "unique_id", "full_outer")
+    stale = F.coalesce("stale", F.lit(False)) | (F.col("compiled_code").isNull() & F.coalesce("newer", F.lit(False)))
+    return b.with_(node_sql=sql.select("unique_id", "raw_code", F.coalesce("compiled_code", "text").alias("compiled_code"), stale.alias("stale")))

@@ -3,6 +3,7 @@
 import pytest
 
 from tests.oracle import difference
+from tributary.plans import workloads  # noqa: F401  (adds to the pack)
 from tributary.plans.queries import ORACLES, QUERIES
 
 

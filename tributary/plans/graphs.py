@@ -171,7 +171,8 @@ def _catalog(m: DataFrame) -> DataFrame:
 
 def mutated(b: Bundle, sf_dir: str) -> Bundle:
     """A later state: every 211th model dropped, every 37th with other SQL, every 41st a table, every 43rd without its
-    first test kind, every 47th with a longer column list, four new marts."""
+    first test kind, every 47th with a longer column list, every 53rd without c0000, every 61st of the others with c0000
+    renamed, every 59th with another type of id, four new marts."""
     spark = b.spark
     m = _models(spark, sf_dir)
     gone = m.where("idx % 211 = 0").select("unique_id")
@@ -188,10 +189,65 @@ def mutated(b: Bundle, sf_dir: str) -> Bundle:
     sql = b.node_sql.join(flags, "unique_id").withColumn("raw_code", F.expr("if(idx % 37 = 0, concat(raw_code, ' where id > 1'), raw_code)")).drop("idx").join(alive, "unique_id", "left_semi")
     tests = b.tests.join(flags, "unique_id").where("not (idx % 43 = 0 and kind = 'not_null')").drop("idx").join(alive, "unique_id", "left_semi")
     more = flags.where("idx % 47 = 0").join(alive, "unique_id", "left_semi").select("unique_id", F.lit(3).alias("pos"), F.lit("extra").alias("name"), F.lit("text").alias("data_type"), F.lit(None).cast("string").alias("description"), F.array().cast(f"array<{CONSTRAINT}>").alias("constraints"))
-    columns = b.columns.join(alive, "unique_id", "left_semi").unionByName(more)
+    columns = b.columns.join(flags, "unique_id").where("not (idx % 53 = 0 and name = 'c0000')")
+    columns = columns.withColumns({"name": F.expr("if(idx % 61 = 0 and name = 'c0000', 'c0000b', name)"), "data_type": F.expr("if(idx % 59 = 0 and name = 'id', 'bigint', data_type)")})
+    columns = columns.drop("idx").join(alive, "unique_id", "left_semi").unionByName(more)
     return b.with_(nodes=nodes, edges=written(pruned(edges, nodes), "edges"), node_sql=sql, tests=tests, columns=columns, detail=b.detail.join(alive, "unique_id", "left_semi"))
 
 
+def _first_parent(b: Bundle) -> DataFrame:
+    """unique_id and the call of each model's first parent by uid."""
+    ends = b.nodes.select(F.col("unique_id").alias("parent"), F.when(F.col("resource_type") == "source", F.concat(F.lit("{{ source('raw', '"), "name", F.lit("') }}"))).otherwise(F.concat(F.lit("{{ ref('"), "name", F.lit("') }}"))).alias("call"))
+    first = b.edges.join(ends, "parent").groupBy(F.col("child").alias("unique_id")).agg(F.min_by("call", "parent").alias("call"))
+    return b.nodes.where("resource_type = 'model'").select("unique_id").join(first, "unique_id")
+
+
+def with_code(b: Bundle, sf_dir: str, code: str) -> Bundle:
+    """Models with a parent get ``code``, an expression over ``k``, ``name`` and ``call``."""
+    m = _models(b.spark, sf_dir).select("unique_id", "k", "name")
+    sql = _first_parent(b).join(m, "unique_id").select("unique_id", F.expr(code).alias("raw_code"), F.lit(None).cast("string").alias("compiled_code"), F.lit(False).alias("stale"))
+    return b.with_(node_sql=written(sql, "code"), catalog_columns=b.catalog_columns.limit(0))
+
+
+#: One fault a model, by k % 9.
+FAULTS = """element_at(array(concat('select * from ', call), concat('select a.id from ', call, ' a, ', call, ' b'), concat('select id, c0000 as id from ', call),
+ concat('with q as (select id from ', call, '), r as (select id from ', call, ') select id from q'), concat('select id from ', call, ' order by id'), 'drop table x',
+ concat('select a.nope from ', call, ' a'), 'select id from raw.orders', concat('select id\\nfrom ', call, '\\n\\nwhere id > 1')), cast(k % 9 + 1 as int))"""
+#: One reference a model, by k % 8; stg_00009 is a model of the package vendor.
+REFERENCES = """concat('select id from {{ ', element_at(array('ref(\\'nothing\\')', 'ref(\\'vendor\\', \\'stg_00009\\')', 'ref(\\'stg_00009\\')', 'source(\\'raw\\', \\'tbl_3\\')',
+ 'source(\\'raw\\', \\'none\\')', concat('ref(\\'', name, '\\')'), 'ref(\\'bench\\', \\'stg_00009\\')', 'ref(\\'far\\', \\'x\\')'), cast(k % 8 + 1 as int)), ' }}',
+ if(k % 5 = 0, '{% if a %} join {{ ref(\\'perhaps\\') }} {% endif %}', ''))"""
+
+
+def manifest_document(b: Bundle) -> DataFrame:
+    """The bundle as the JSON text of a manifest: one row, as such a file is one document."""
+    texts = F.array_sort(F.collect_list(F.struct("pos", "name", "data_type", "description")))
+    columns = b.columns.groupBy("unique_id").agg(F.map_from_entries(F.transform(texts, lambda c: F.struct(c["name"], F.struct(c["name"].alias("name"), c["data_type"].alias("data_type"), c["description"].alias("description"))))).alias("columns"))
+    up = b.edges.groupBy(F.col("child").alias("unique_id")).agg(F.struct(F.array_sort(F.collect_list("parent")).alias("nodes")).alias("depends_on"))
+    rows = b.nodes.join(b.detail, "unique_id", "left").join(columns, "unique_id", "left").join(up, "unique_id", "left").join(b.node_sql.select("unique_id", "raw_code"), "unique_id", "left")
+    config = F.struct("materialized", "unique_key", "incremental_strategy").alias("config")
+    node = F.struct("name", "resource_type", "path", "original_file_path", "description", config, "columns", "tags", "meta", "depends_on", "raw_code", "package_name", "access", F.col("grp").alias("group"), F.struct(F.col("contract_enforced").alias("enforced")).alias("contract"), "deprecation_date")
+    source = F.struct("name", "resource_type", "path", "description", "database", "schema", "identifier", "package_name", F.struct("warn_after", "error_after").alias("freshness"))
+    exposure = F.struct("name", "path", "description", "package_name", "depends_on", F.lit("dashboard").alias("type"), F.struct(F.col("owner_name").alias("name")).alias("owner"))
+    test = F.struct("name", F.lit("test").alias("resource_type"), F.col("unique_id").alias("attached_node"), "column_name", F.struct(F.col("kind").alias("name")).alias("test_metadata"), F.struct(F.array("unique_id").alias("nodes")).alias("depends_on"))
+    unit = F.struct("name", F.col("model"), F.struct(F.array("unique_id").alias("nodes")).alias("depends_on"))
+    one = lambda df, key, value, name: df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    models = rows.where("resource_type = 'model'").select("unique_id", node.alias("n"))
+    plain = b.tests.where("kind <> 'unit'").select(F.concat_ws(".", F.lit("test.bench"), "name", F.coalesce("column_name", F.lit(""))).alias("id"), test.alias("n"))
+    units = b.tests.where("kind = 'unit'").join(b.nodes.select("unique_id", F.col("name").alias("model")), "unique_id").select(F.concat(F.lit("unit_test.bench."), "name").alias("id"), unit.alias("n"))
+    parts = [
+        one(models.select("unique_id", F.to_json("n").alias("n")).unionByName(plain.select(F.col("id").alias("unique_id"), F.to_json("n").alias("n"))), F.col("unique_id"), F.col("n"), "nodes"),
+        one(rows.where("resource_type = 'source'"), F.col("unique_id"), F.to_json(source), "sources"),
+        one(rows.where("resource_type = 'exposure'").join(b.exposures, "unique_id"), F.col("unique_id"), F.to_json(exposure), "exposures"),
+        one(units, F.col("id"), F.to_json("n"), "unit_tests"),
+    ]
+    out = b.spark.createDataFrame([('{"metadata":{"project_name":"bench","adapter_type":"duckdb"}',)], "text string")
+    for name, part in zip(("nodes", "sources", "exposures", "unit_tests"), parts, strict=True):  # one row each
+        members = F.array_join(F.transform(F.map_entries(name), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ",")
+        out = out.crossJoin(part.select(members.alias("m"))).select(F.concat("text", F.lit(f',"{name}":{{'), "m", F.lit("}")).alias("text"))
+    return out.select(F.concat("text", F.lit("}")).alias("value"))
+
+
 def with_joined_code(b: Bundle) -> Bundle:
     """Each model reads its first parent (by uid) and joins the second, whose value filters."""
     ends = b.nodes.select(F.col("unique_id").alias("parent"), F.when(F.col("resource_type") == "source", F.concat(F.lit("{{ source('raw', '"), "name", F.lit("') }}"))).otherwise(F.concat(F.lit("{{ ref('"), "name", F.lit("') }}"))).alias("call"))

@@ -14,7 +14,7 @@ from tributary.engine import Engine
 from tributary.operators import attributes, diff, impact, lint, select
 from tributary.plans.bundle import Bundle
 from tributary.session import written
-from tributary.sources import manifest, reports
+from tributary.sources import discovery, reports
 
 
 def impact_markdown(base: Bundle, current: Bundle) -> str:
@@ -44,8 +44,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("verb", choices=["ls", "columns", "lint", "check", "impact", "docs"])
     p.add_argument("argument", nargs="*", help="selectors; for columns: unique_id column")
     p.add_argument("--manifest")
-    p.add_argument("--project-dir")
-    p.add_argument("--base", help="manifest to compare with")
+    p.add_argument("--source", help="a project folder, read without a manifest")
+    p.add_argument("--project-dir", default=".", help="where to look for target/manifest.json, else the project file")
+    p.add_argument("--catalog")
+    p.add_argument("--run-results")
+    p.add_argument("--base", help="what to compare with: a manifest, a folder, or git:<revision>")
+    p.add_argument("--baseline", help="file of findings that don't count")
+    p.add_argument("--write-baseline", action="store_true", help="replace that file by what is found")
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--format", default="text")
     p.add_argument("--direction", choices=["up", "down"], default="up")
@@ -59,11 +64,17 @@ def main(argv: list[str] | None = None) -> int:
         if a.config:
             with open(a.config) as f:
                 config = read_config(f.read())
-        engine = Engine.load(spark, manifest_path=a.manifest, project_dir=a.project_dir, scope=a.scope)
-        base = None
-        if a.base:
-            base = manifest.manifest(spark, a.base)
-            base = attributes.root_scope(base) if a.scope == "root" else base
+        inputs = discovery.discover(spark, a.project_dir, a.manifest, a.source, a.catalog, a.run_results)
+        detected = a.manifest is None and a.source is None
+        loaded = discovery.load(spark, inputs, a.project_dir if detected else None)
+        engine = Engine(attributes.root_scope(loaded) if a.scope == "root" else loaded)
+        for note in loaded.warnings:
+            print(f"warning: {note}", file=sys.stderr)
+        base = discovery.baseline(spark, a.base, a.source or a.project_dir, a.scope) if a.base else None
+        frozen = None
+        if a.baseline and not a.write_baseline:
+            with open(a.baseline) as f:
+                frozen = lint.read_baseline(spark, f.read())
         for spec in [*(a.argument if a.verb in ("ls", "lint") else []), *a.exclude]:
             select.validate(spec)
     except (ValueError, OSError, AnalysisException) as e:
@@ -78,7 +89,11 @@ def main(argv: list[str] | None = None) -> int:
         for r in engine.columns(*a.argument[:2], direction=a.direction).collect():
             print(f"{r['node']}.{r['column']}\t{','.join(r['kinds'])}\t{r['confidence']}")
     elif a.verb == "lint":
-        judged = written(engine.lint(config.get("lint")), "findings")
+        judged = written(engine.lint(config.get("lint"), baseline=frozen), "findings")
+        if a.baseline and a.write_baseline:
+            with open(a.baseline, "w") as f:
+                f.write(lint.baseline_text(judged.where("class <> 'suppressed'")))
+            return 0
         if a.argument:
             judged = judged.join(select.select(b, " ".join(a.argument)), "unique_id", "left_semi")
         _print(_ordered(reports.report(judged.where("class = 'counted'"), a.format, b)))

@@ -47,13 +47,13 @@ class Engine:
         """Nodes and edges around all nodes that ``specs`` pick, in one walk."""
         return traverse.subgraph(self.bundle.nodes, self.bundle.edges, select.select(self.bundle, " ".join(specs)), up, down, depth)
 
-    def lint(self, config: Mapping | None = None, sql: bool = True) -> DataFrame:
+    def lint(self, config: Mapping | None = None, sql: bool = True, baseline: DataFrame | None = None) -> DataFrame:
         facts = calls = None
         if sql:  # each is read by several rules
             facts = written(lineage.sql_facts(self.bundle), "facts")
             calls = written(lineage.resolved_references(self.bundle), "calls")
         found, _ = lint.findings(self.bundle, config, facts, calls=calls)
-        return lint.classified(lint.suppressed(self.bundle, found, (config or {}).get("exclude")))
+        return lint.classified(lint.suppressed(self.bundle, found, (config or {}).get("exclude")), baseline)
 
     def columns(self, uid: str, column: str, direction: str = "up") -> DataFrame:
         if self._edges is None:

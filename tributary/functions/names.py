@@ -171,3 +171,11 @@ def time_heat(seconds: Column) -> Column:
 
 def status_class(status: Column) -> Column:
     return F.when(status.isin("error", "fail"), "error").when(status == "warn", "warn").when(status == "skipped", "skipped").otherwise("none")
+
+
+def mid_truncated(name: Column, cells: int) -> Column:
+    """At most ``cells`` characters: what is cut from the middle becomes one ellipsis; the end keeps the greater half."""
+    head = (cells - 1) // 2
+    tail = cells - 1 - head
+    cut = F.concat(F.substring(name, 1, head), F.lit("\u2026"), F.substring(name, -tail, tail) if tail > 0 else F.lit(""))
+    return F.when(F.length(name) <= cells, name).when(F.lit(cells) <= 0, F.lit("")).otherwise(cut)

@@ -216,12 +216,26 @@ def full_text(b: Bundle, needle: str) -> DataFrame:
     return b.nodes.join(found.distinct(), "unique_id", "left_semi")
 
 
-def lenses(b: Bundle) -> DataFrame:
-    """unique_id and one column for each way of classifying nodes."""
+def lenses(b: Bundle, violations: DataFrame | None = None, findings: DataFrame | None = None, changes: DataFrame | None = None, reached: DataFrame | None = None) -> DataFrame:
+    """unique_id and one column for each way of classifying nodes. Four of them need more than the graph: layer violations
+    (parent, child), lint findings (unique_id, severity), changes (unique_id, status) and the columns that a column reaches (node)."""
     d = b.nodes.join(degrees(b), "unique_id").join(downstream_counts(b), "unique_id").join(b.run_results, "unique_id", "left")
     d = d.join(primary_keys(b).withColumn("pk", F.lit(True)), "unique_id", "left")
+    more = []
+    if violations is not None:
+        ends = violations.select(F.explode(F.array("parent", "child")).alias("unique_id")).distinct()
+        d, more = d.join(ends.withColumn("violating", F.lit("violation")), "unique_id", "left"), [*more, F.coalesce("violating", F.lit("none")).alias("layer_violation")]
+    if findings is not None:
+        worst = findings.groupBy("unique_id").agg(F.min("severity").alias("worst"))  # error comes before warn
+        d, more = d.join(worst, "unique_id", "left"), [*more, F.coalesce("worst", F.lit("none")).alias("lint")]
+    if changes is not None:
+        now = changes.where("status <> 'removed'").select("unique_id", F.col("status").alias("changed"))
+        d, more = d.join(now, "unique_id", "left"), [*more, F.coalesce("changed", F.lit("unchanged")).alias("diff")]
+    if reached is not None:
+        hit = reached.groupBy(F.col("node").alias("unique_id")).agg(F.count("*").alias("hits"))
+        d, more = d.join(hit, "unique_id", "left"), [*more, F.coalesce("hits", F.lit(0)).alias("column_impact")]
     return d.select(
-        "unique_id",
+        "unique_id", *more,
         F.when(~testable(), "none").when(F.col("test_count") > 0, "tested").otherwise("untested").alias("coverage"),
         N.degree_heat(F.col("downstream")).alias("degree_heat"),
         N.layer(F.col("path")).alias("layer"),

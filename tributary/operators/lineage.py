@@ -185,17 +185,17 @@ def column_subgraph(b: Bundle, edges: DataFrame, node: str, column: str) -> tupl
 
 
 def reference_calls(b: Bundle) -> DataFrame:
-    """(unique_id, head, package, name, version, conditional) of every literal ref and source in the models' text."""
+    """(unique_id, head, package, name, version, conditional, line, column) of every literal ref and source in the models' text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 for c in S.calls(r.raw_code or ""):
-                    rows.append((r.unique_id, c.head, c.arguments[0] if len(c.arguments) > 1 else None, c.arguments[-1], c.version, c.conditional))
-            yield pd.DataFrame(rows, columns=["unique_id", "head", "package", "name", "version", "conditional"])
+                    rows.append((r.unique_id, c.head, c.arguments[0] if len(c.arguments) > 1 else None, c.arguments[-1], c.version, c.conditional, *S.line_and_column(r.raw_code, c.at)))
+            yield pd.DataFrame(rows, columns=["unique_id", "head", "package", "name", "version", "conditional", "line", "column"])
 
-    return b.node_sql.select("unique_id", "raw_code").mapInPandas(read, "unique_id string, head string, package string, name string, version string, conditional boolean")
+    return b.node_sql.select("unique_id", "raw_code").mapInPandas(read, "unique_id string, head string, package string, name string, version string, conditional boolean, line int, column int")
 
 
 # --- lint rules on facts ---------------------------------------------------------------------------------------------
@@ -248,7 +248,7 @@ def resolved_references(b: Bundle, projects: Sequence[str] = ()) -> DataFrame:
     source, own = F.col("head") == "source", key(F.col("of")) == key(F.col("caller"))
     asked = F.col("version").isNull() | F.col("version").eqNullSafe(F.col("of_version"))
     there = F.col("uid").isNotNull() & ~F.col("disabled")
-    seen = calls.join(u, ["head", "name"], "left").groupBy("unique_id", "call", "head", "package", "name", "version", "conditional", "caller").agg(
+    seen = calls.join(u, ["head", "name"], "left").groupBy("unique_id", "call", "head", "package", "name", "version", "conditional", "caller", "line", "column").agg(
         F.coalesce(F.bool_or(there & asked & (source | own)), F.lit(False)).alias("home"),
         F.coalesce(F.bool_or(there & (F.col("of") == F.col("package"))), F.lit(False)).alias("named"),
         F.coalesce(F.bool_or(there & ~own), F.lit(False)).alias("others"),
@@ -262,7 +262,7 @@ def resolved_references(b: Bundle, projects: Sequence[str] = ()) -> DataFrame:
     verdict = verdict.when(F.col("package").isNull() & F.col("others"), "foreign_any").when(at_home, lost)
     verdict = verdict.when(F.col("named") | F.col("package").isin(*projects), "foreign").otherwise(lost)
     out = seen.withColumn("verdict", verdict)
-    return out.select("unique_id", "head", "package", "name", "version", "conditional", "verdict", F.when(F.col("verdict") == "local", F.col("best.uid")).alias("target"))
+    return out.select("unique_id", "head", "package", "name", "version", "conditional", "line", "column", "verdict", F.when(F.col("verdict") == "local", F.col("best.uid")).alias("target"))
 
 
 @lint.rule("unresolved_references", "modeling", "a reference names nothing")

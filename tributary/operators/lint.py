@@ -9,11 +9,11 @@ Most rules are conditions on one node, or on the two ends of one edge. They are
 
 from __future__ import annotations
 
-
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names as N
@@ -525,7 +525,7 @@ def suppressed(b: Bundle, found: DataFrame, exclude: Mapping[str, str] | None =
 
 def finding_key(found: DataFrame) -> DataFrame:
     """What identifies a finding: rule and node; for layer violations also what is related."""
-    related = F.when(F.col("rule") == "layer_violation", F.array_join("related", ",")).otherwise(F.lit(""))
+    related = F.when(F.col("rule").isin(*BY_EDGE), F.array_join("related", ",")).otherwise(F.lit(""))
     return found.withColumn("finding_key", F.concat_ws("|", "rule", "unique_id", related))
 
 
@@ -549,6 +549,32 @@ def gate_rows(judged: DataFrame, fail_on: str = "error") -> DataFrame:
     return counts.withColumn("status", F.when(F.col("counted") == 0, "pass").when(fails, "fail").otherwise("warn")).orderBy("rule_rank")
 
 
+#: Stamp of a baseline file. Files of other programs with the same layout bear their own name before the dot.
+BASELINE_SCHEMA = "tributary.lint-baseline/v1"
+#: Rules whose findings are told apart by what is related.
+BY_EDGE = ("layer_violation",)
+
+
+def baseline_text(baseline: DataFrame) -> str:
+    """A baseline (rule, unique_id, related) as a file's text: sorted, distinct, the same bytes for the same findings."""
+    rows = {(r["rule"], r["unique_id"], tuple(sorted(set(r["related"] or [])))) for r in baseline.select("rule", "unique_id", "related").collect()}  # a file that people check in
+    return json.dumps({"schema": BASELINE_SCHEMA, "findings": [{"rule": r, "node": n, "related": list(x)} for r, n, x in sorted(rows)]}, indent=2, ensure_ascii=False) + "\n"
+
+
+def read_baseline(spark: SparkSession, text: str) -> DataFrame:
+    """(rule, unique_id, related) of a baseline file. A wrong stamp is an error, as a misread baseline would free all findings;
+    entries of unknown rules match nothing."""
+    try:
+        doc = json.loads(text)
+    except ValueError as e:
+        raise ValueError(f"invalid lint baseline: {e}") from e
+    stamp = doc.get("schema") if isinstance(doc, dict) else None
+    if not isinstance(stamp, str) or stamp.rpartition(".")[2] != BASELINE_SCHEMA.rpartition(".")[2]:
+        raise ValueError(f"invalid lint baseline schema {stamp!r} (expected {BASELINE_SCHEMA!r})")
+    rows = [(f["rule"], f["node"], sorted(set(f.get("related") or [])) if f["rule"] in BY_EDGE else []) for f in doc.get("findings") or []]
+    return spark.createDataFrame(rows, "rule string, unique_id string, related array<string>")
+
+
 def rewritten_baseline(old: DataFrame, found: DataFrame, ran: list[str]) -> DataFrame:
     """The baseline (rule, unique_id, related) with the entries of the rules that ran replaced."""
     kept = old.where(~F.col("rule").isin(*ran)) if ran else old

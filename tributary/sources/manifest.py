@@ -230,8 +230,10 @@ def run_results_document(text: DataFrame) -> DataFrame:
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     """at (path below ``folder``), modificationTime and text of the SQL files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").load(folder)
-    root = F.lit("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/")
-    return files.select(F.substring_index("path", root, -1).alias("at"), "modificationTime", F.decode("content", "UTF-8").alias("text"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath().rstrip("/") + "/"
+    at = F.expr("substring(path, locate(root, path) + length(root))")
+    return files.withColumn("root", F.lit(root)).select(at.alias("at"), "modificationTime", F.decode("content", "UTF-8").alias("text"))
 
 
 def with_compiled(b: Bundle, folder: str, project_dir: str | None = None) -> Bundle:

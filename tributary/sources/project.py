@@ -24,6 +24,7 @@ from tributary.plans.bundle import CONSTRAINT, FRESHNESS, SCHEMAS, Bundle, bundl
 from tributary.session import written
 
 FOLDERS = {"model-paths": ["models"], "seed-paths": ["seeds"], "snapshot-paths": ["snapshots"], "macro-paths": ["macros"]}
+TEXT_FILES = (".sql", ".py", ".csv", ".yml", ".yaml", ".md")
 _CONFIG = re.compile(r"\{\{-?\s*config\s*\((.*?)\)\s*-?\}\}", re.S)
 _SNAPSHOT = re.compile(r"\{%-?\s*snapshot\s+(\w+)\s*-?%\}(.*?)\{%-?\s*endsnapshot\s*-?%\}", re.S)
 _MACRO = re.compile(r"\{%-?\s*macro\s+(\w+)\s*\((.*?)\)\s*-?%\}(.*?)\{%-?\s*endmacro\s*-?%\}", re.S)
@@ -127,13 +128,17 @@ def project_files(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(F.substring_index("path", root, -1).alias("path") if folder.count(root.strip("/")) == 1 else F.expr(f"substring(path, locate('{root}', path) + {len(root)})").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
-def _yaml(text: str) -> dict:
+def _yaml(text: str, path: str = "") -> dict:
+    """The document, which must be a mapping or empty; anything else fails with the file's name."""
     import yaml
 
     try:
-        return yaml.safe_load(text) or {}
-    except yaml.YAMLError:
-        return {}
+        doc = yaml.safe_load(text) or {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"{path}: not valid YAML: {e}") from e
+    if not isinstance(doc, dict):
+        raise ValueError(f"{path}: not a mapping")
+    return doc
 
 
 _ROW = "kind string, name string, path string, code string, language string, config string, calls string, columns string"
@@ -180,7 +185,7 @@ def _properties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            doc = _yaml(r.code)
+            doc = _yaml(r.code, r.path)
             for section, kind in (("models", "model"), ("seeds", "seed"), ("snapshots", "snapshot"), ("exposures", "exposure"), ("semantic_models", "semantic_model"), ("metrics", "metric"), ("saved_queries", "saved_query"), ("sources", "source")):
                 for entry in doc.get(section) or []:
                     if not isinstance(entry, dict) or not entry.get("name"):
@@ -200,17 +205,50 @@ def _properties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             for t in [*(holder.get("tests") or []), *(holder.get("data_tests") or [])]:
                                 name, args = (t, {}) if isinstance(t, str) else next(iter(t.items()))
                                 tests.append({"kind": str(name).split(".")[-1], "column": (args or {}).get("column_name", column), "to": str((args or {}).get("to", "")), "field": (args or {}).get("field")})
+                        if kind == "model" and isinstance(e.get("versions"), list):
+                            rows += _versions(e, config, columns, tests, r.path)
+                            continue
                         extra = {"type": e.get("type"), "owner": e.get("owner"), "url": e.get("url"), "depends_on": [str(x) for x in e.get("depends_on") or [] if isinstance(x, str)]} if kind == "exposure" else {}
+                        if kind == "snapshot" and isinstance(e.get("relation"), str):  # a snapshot without a file
+                            extra = {"depends_on": [e["relation"]], "relation": e["relation"]}
                         rows.append((kind, e["name"], (e.get("description") or "").strip() or None, json.dumps(config, default=str), json.dumps(columns, default=str), json.dumps(tests, default=str), json.dumps(extra, default=str), r.path))
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in _PROPERTY.split(", ")])
 
 
+def _versions(entry: dict, config: dict, columns: list, tests: list, path: str) -> list[tuple]:
+    """One row for each version of a model, under the stem of its file: ``defined_in``, else ``name_vN``; the latest one's file
+    may also be called like the model. The latest is the one the entry names, else the greatest."""
+    listed = [v for v in entry["versions"] if isinstance(v, dict) and v.get("v") is not None]
+    text = lambda v: str(v).lstrip("vV")
+    order = lambda v: (0, float(v), "") if re.fullmatch(r"\d+(\.\d+)?", v) else (1, 0.0, v)
+    latest = text(entry["latest_version"]) if entry.get("latest_version") is not None else max((text(v["v"]) for v in listed), key=order, default=None)
+    out = []
+    for v in listed:
+        number = text(v["v"])
+        own = {**config, **(v.get("config") or {}), "version": number, "family": entry["name"], "latest_version": latest}
+        kept = columns
+        for c in v.get("columns") or []:
+            if isinstance(c, dict) and ("include" in c or "exclude" in c):
+                some, without = c.get("include", "all"), _listed(c.get("exclude"))
+                kept = [x for x in columns if (some in ("all", "*") or x["name"] in _listed(some)) and x["name"] not in without]
+        kept = kept + [{"name": c["name"], "data_type": c.get("data_type"), "description": c.get("description")} for c in v.get("columns") or [] if isinstance(c, dict) and c.get("name")]
+        stems = [v["defined_in"]] if v.get("defined_in") else [f"{entry['name']}_v{number}", *([entry["name"]] if number == latest else [])]
+        description = (v.get("description") or entry.get("description") or "").strip() or None
+        for stem in stems:
+            out.append(("model", str(stem).removesuffix(".sql"), description, json.dumps(own, default=str), json.dumps(kept, default=str), json.dumps(tests, default=str), "{}", path))
+    return out
+
+
 def load_project(spark: SparkSession, folder: str, variables: Mapping[str, object] | None = None) -> Bundle:
-    files = project_files(spark, folder)
+    return load_files(spark, project_files(spark, folder), variables)
+
+
+def load_files(spark: SparkSession, files: DataFrame, variables: Mapping[str, object] | None = None) -> Bundle:
+    """A project given as (path, text)."""
     project = files.where(F.col("path").isin("dbt_project.yml", "dbt_project.yaml")).first()
     if project is None:
-        raise FileNotFoundError(f"no project file in {folder}")
-    settings = _yaml(project["text"])
+        raise FileNotFoundError("no project file")
+    settings = _yaml(project["text"], project["path"])
     name = settings.get("name") or "project"
     variables = {**(settings.get("vars") or {}), **((settings.get("vars") or {}).get(name) or {}), **(variables or {})}
     paths = {k: list(settings.get(k) or v) for k, v in FOLDERS.items()}
@@ -279,7 +317,10 @@ def _resolved(spark: SparkSession, parsed: DataFrame, props: DataFrame, settings
                         found.append({"head": m[1], "package": a[0] if len(a) > 1 else None, "name": a[-1], "version": None})
                 owner, fresh = extra.get("owner") or {}, get("freshness") or {}
                 limit = lambda k: {"count": fresh[k]["count"], "period": fresh[k].get("period")} if isinstance(fresh.get(k), dict) and fresh[k].get("count") is not None else None  # noqa: B023, E731
-                middle = f"{get('source_name')}.{name}" if kind == "source" else name
+                version = yml.get("version") if "family" in yml else None
+                if version is not None:
+                    name = yml["family"]
+                middle = f"{get('source_name')}.{name}" if kind == "source" else name if version is None else f"{name}.v{version}"
                 default = {"model": "view", "seed": "seed", "snapshot": "snapshot"}.get(kind)
                 meta = get("meta") or {}
                 contract = get("contract") or {}
@@ -289,24 +330,29 @@ def _resolved(spark: SparkSession, parsed: DataFrame, props: DataFrame, settings
                     f"{kind}.{project}.{middle}", name, kind, path.split("/", 1)[-1] if f is not None else path, path, get("materialized", default), p["description"] if p is not None else None,
                     sorted({*_listed(own.get("tags")), *_listed(yml.get("tags")), *_listed(tree.get("tags"))}), {k: v if isinstance(v, str) else json.dumps(v, separators=(",", ":")) for k, v in meta.items()},
                     get("access"), get("group"), contract.get("enforced") if isinstance(contract, dict) else None, [k for k in _listed(get("unique_key")) if k.strip()], get("incremental_strategy"),
-                    text(get("deprecation_date")), f["language"] if f is not None else None, None, text(get("latest_version")), get("database"), get("schema"), get("identifier", get("alias")), limit("warn_after"), limit("error_after"),
+                    text(get("deprecation_date")), f["language"] if f is not None else None, version, text(get("latest_version")), get("database"), get("schema"), get("identifier", get("alias")), limit("warn_after"), limit("error_after"),
                     f["code"] if f is not None and kind != "seed" else None, found, columns, json.loads(p["tests"]) if p is not None else [], extra.get("type"), owner.get("name"), owner.get("email"), extra.get("url"), p is not None,
                 ))
             yield pd.DataFrame(out, columns=fields)
 
     joined = files.join(declared, "key", "full_outer")
     # a property entry of a model, seed or snapshot without a file declares nothing
-    joined = joined.where("f is not null or key.kind not in ('model', 'seed', 'snapshot')")
+    bare = F.get_json_object("p.extra", "$.relation").isNotNull() & (F.col("key.kind") == "snapshot")
+    joined = joined.where(F.col("f").isNotNull() | ~F.col("key.kind").isin("model", "seed", "snapshot") | bare)
     return written(joined.select("key", "f", "p").mapInPandas(build, _NODE), "project-nodes")
 
 
 def _bundled(spark: SparkSession, rows: DataFrame, parsed: DataFrame, project: str) -> Bundle:
     null = F.lit(None)
     called = rows.select(F.col("unique_id").alias("child"), F.explode("calls").alias("c"))
-    refs = rows.where("kind in ('model', 'seed', 'snapshot')").select(F.col("unique_id").alias("parent"), F.col("name").alias("target"))
+    refs = rows.where("kind in ('model', 'seed', 'snapshot')").select(
+        F.col("unique_id").alias("parent"), F.col("name").alias("target"), F.col("version").alias("of_version"), F.coalesce(F.col("version") == F.col("latest"), F.lit(True)).alias("newest")
+    )
     tables = rows.where("kind = 'source'").select(F.col("unique_id").alias("parent"), F.concat(N.segments(F.col("unique_id"))[2], F.lit("."), "name").alias("target"))
-    wanted = called.select("child", "c.head", F.when(F.col("c.head") == "source", F.concat_ws(".", "c.package", "c.name")).otherwise(F.col("c.name")).alias("target"))
-    resolved = wanted.where("head = 'ref'").join(refs, "target").unionByName(wanted.where("head = 'source'").join(tables, "target"))
+    wanted = called.select("child", "c.head", N.normalize_version(F.col("c.version")).alias("asked"), F.when(F.col("c.head") == "source", F.concat_ws(".", "c.package", "c.name")).otherwise(F.col("c.name")).alias("target"))
+    # a call names one version, or means the latest
+    named = wanted.where("head = 'ref'").join(refs, "target").where("case when asked is null then newest else asked = of_version end")
+    resolved = named.select("child", "target", "parent").unionByName(wanted.where("head = 'source'").join(tables, "target").select("child", "target", "parent"))
     lost = wanted.join(resolved.select("child", "target").distinct(), ["child", "target"], "left_anti").count()
     own = {
         "description": "description", "tags": "tags", "meta": "meta", "access": "access", "grp": "grp", "contract_enforced": "contract", "unique_key": "unique_key", "incremental_strategy": "strategy",
@@ -318,7 +364,7 @@ def _bundled(spark: SparkSession, rows: DataFrame, parsed: DataFrame, project: s
     detail = rows.select("unique_id", *[(F.col(own[n]) if n in own else given.get(n, null)).cast(t).alias(n) for n, t in fields])
     tests = rows.select("unique_id", "name", F.explode("tests").alias("t"))
     target = F.regexp_extract("t.to", r"ref\(\s*['\"]([^'\"]+)['\"]\s*\)", 1)
-    tests = tests.withColumn("target", F.when(target != "", target)).join(refs.select("target", F.col("parent").alias("ref_uid")), "target", "left")
+    tests = tests.withColumn("target", F.when(target != "", target)).join(refs.where("newest").select("target", F.col("parent").alias("ref_uid")), "target", "left")
     macros = parsed.where("kind = 'macro'")
     uid = lambda c: F.concat(F.lit(f"macro.{project}."), c)
     inner = macros.select("name", F.explode(F.from_json("calls", "array<string>")).alias("callee"))

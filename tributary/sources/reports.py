@@ -156,6 +156,29 @@ def _label(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit('"'), F.lit("#quot;")), F.lit("\n"), F.lit(" "))
 
 
+# The most edges and characters of a diagram, and nodes of one of the whole graph.
+MAX_EDGES, MAX_CHARS, MAX_NODES = 400, 40_000, 150
+# Fixed value: the order of resource types in documentation.
+DOCS_TYPES = ("source", "seed", "snapshot", "model", "semantic_model", "metric", "saved_query", "exposure")
+
+
+def docs_order() -> list[Column]:
+    """Order of documentation: type, layer, name."""
+    kind = F.lit(len(DOCS_TYPES))
+    for k, name in enumerate(DOCS_TYPES):
+        kind = F.when(F.col("resource_type") == name, F.lit(k)).otherwise(kind)
+    return [kind, N.layer_rank(N.layer(F.col("path"))), F.col("name"), F.col("unique_id")]
+
+
+def budgeted(nodes: DataFrame, edges: DataFrame, whole: bool = False) -> DataFrame | None:
+    """``mermaid``, or None where a diagram would be too large to read: no more rows than the limit are ever counted."""
+    if len(edges.limit(MAX_EDGES + 1).collect()) > MAX_EDGES or (whole and len(nodes.limit(MAX_NODES + 1).collect()) > MAX_NODES):
+        return None
+    lines = mermaid(nodes, edges)
+    size = lines.agg(F.sum(F.length("line") + 1)).first()[0] or 0
+    return lines if size <= MAX_CHARS else None
+
+
 def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, line): sort by both."""
     spark = nodes.sparkSession

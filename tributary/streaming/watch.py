@@ -29,14 +29,20 @@ def watch(
     spark: SparkSession, folder: str, checkpoint: str, on_change: Callable[[Bundle, DataFrame | None], None], interval: str | None = "2 seconds"
 ) -> StreamingQuery:
     """Calls ``on_change(bundle, changes)`` for each version; ``changes`` is None for the first. A file that vanishes is
-    no change. With ``interval=None`` what is there is worked off, and the query ends."""
+    no change. With ``interval=None`` what is there is worked off, and the query ends. The last version's text is kept in
+    ``checkpoint``, so that after a restart the next one is compared with it."""
     state: dict[str, Bundle] = {}
+    kept = f"{checkpoint.rstrip('/')}/last-version"
+    where = spark._jvm.org.apache.hadoop.fs.Path(kept)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        state["last"] = from_document(spark.read.schema("value string").parquet(kept))
 
     def handle(batch: DataFrame, _: int) -> None:
         for row in batch.orderBy("modificationTime", "path").select("path").collect():  # one file a batch
             now = from_document(batch.where(F.col("path") == row["path"]).select("value"))
             before = state.get("last")
             on_change(now, diff.node_changes(before, now) if before is not None else None)
+            batch.where(F.col("path") == row["path"]).select("value").write.mode("overwrite").parquet(kept)
             state["last"] = now
 
     writer = versions(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

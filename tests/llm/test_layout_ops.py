@@ -106,6 +106,20 @@ def test_mixing(spark, sf):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_mixing_of_many_sources(spark, sf, monkeypatch):
+    """The executors' plan is the driver's, also where the excess of small sources is shared again."""
+    docs = [(i, "w " * (1 + (i * 7919) % 900), f"s{(i * i) % 37:02d}" if i % 50 else None) for i in range(900)] + [(1000 + i, "w w w", f"t{i}") for i in range(20)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for df, rows in ((table, docs), (read_table(spark, sf, "documents"), None)):
+        monkeypatch.setattr(mixing, "MAX_SOURCES", 100_000)
+        want = {r["doc_id"]: r for r in rows_of(mixing.mix_documents(df, block_words=64, shard_rows=20))}
+        monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+        got = rows_of(mixing.mix_documents(df, block_words=64, shard_rows=20))
+        assert len(got) == len(want) and all(r["taken"] == want[r["doc_id"]]["taken"] and math.isclose(r["target"], want[r["doc_id"]]["target"], rel_tol=1e-9) for r in got)
+        if rows:
+            check_mixing(rows, got, block=64)
+
+
 def test_mixing_awkward(spark):
     got = rows_of(mixing.mix_documents(frame(spark)))
     check_mixing([(r[0], r[1], r[3]) for r in awkward()], got)

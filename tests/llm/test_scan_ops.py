@@ -168,6 +168,33 @@ GPL = """# This program is free software: you can redistribute it and/or modify
 # GNU General Public License for more details."""
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+Licensed under some public license or other.
+
+Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+Neither the name of Frobnicate, Inc. nor the names of its contributors
+may be used to endorse or promote products derived from this software
+without specific prior written permission."""
+
+
+def test_license_notices(spark):
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    cases = {
+        BSD: "BSD-3-Clause", gpl2: "GPL-2-or-later", gpl2.replace("General", "Affero General").replace("software;", "software:").replace("Foundation;", "Foundation,").replace("version 2", "version 3"): "AGPL-3-or-later",
+        "// SPDX-License-Identifier: Apache-2.0\nint x;": "Apache-2.0", "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0-or-later", "SPDX-License-Identifier: Odd-9": "",
+        "This is free and unencumbered software released into the public domain, distributed without any warranty.": "Unlicense", "Licensed under CC0 1.0.": "CC0-1.0",
+        MIT.replace(" */", " *\n * IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR\n * OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF\n * OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n */"): "MIT",
+    }
+    got = {r["doc_id"]: r["licenses"] for r in rows_of(licenses.license_findings(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")))}
+    assert {i: got[i] for i in range(len(cases))} == dict(enumerate(cases.values()))
+
+
 def test_licenses_awkward(spark):
     extra = [
         (20, "words | pipes\n" + MIT + "\nmore"),

@@ -57,10 +57,45 @@ SENTENCES = {
     "licensed under cc by-nc-sa #": "CCBYNCSAname",
     "licensed under cc by-nc-nd #": "CCBYNCNDname",
     "all rights reserved under copyright": "RIGHTS",
+    "in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software": "MITliable",
+    "licensed under the apache license, version # (the license); you may not use this file except in compliance with the license": "APACHElic",
+    "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version # of the license, or (at your option) any later version": "GPLlater",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version # of the license, or (at your option) any later version": "AGPLlater",
+    "licensed under the gnu affero general public license, version #": "AGPLname",
+    "licensed under the gnu lesser general public license, version #": "LGPLname",
+    "this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version # of the license, or (at your option) any later version": "LGPLlater",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license #": "EPLname",
+    "licensed under the eclipse public license, version #": "EPLname",
+    "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions": "ZLIBgrant",
+    "this is free and unencumbered software released into the public domain, distributed without any warranty": "UNLICENSE",
+    "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means, without warranty": "UNLICENSE",
+    "distributed under the boost software license, version #": "BSLname",
+    "licensed under cc# #": "CCZEROname",
+    "spdx-license-identifier: mit": "MITspdx",
+    "spdx-license-identifier: isc": "ISCspdx",
+    "spdx-license-identifier: unlicense": "UNLICENSEspdx",
+    "spdx-license-identifier: zlib": "ZLIBspdx",
+    "spdx-license-identifier: apache-#": "APACHEspdx",
+    "spdx-license-identifier: bsd-#-clause": "BSDspdx",
+    "spdx-license-identifier: gpl-#-only": "GPLonlyspdx",
+    "spdx-license-identifier: gpl-#-or-later": "GPLlaterspdx",
+    "spdx-license-identifier: lgpl-#-only": "LGPLonlyspdx",
+    "spdx-license-identifier: lgpl-#-or-later": "LGPLlaterspdx",
+    "spdx-license-identifier: agpl-#-only": "AGPLonlyspdx",
+    "spdx-license-identifier: agpl-#-or-later": "AGPLlaterspdx",
+    "spdx-license-identifier: mpl-#": "MPLspdx",
+    "spdx-license-identifier: epl-#": "EPLspdx",
+    "spdx-license-identifier: bsl-#": "BSLspdx",
+    "spdx-license-identifier: cc-by-#": "CCBYspdx",
+    "spdx-license-identifier: cc-by-sa-#": "CCBYSAspdx",
 }
-#: Ordered: identifiers that follow each other (others may stand between those of ``...``), and the licence they prove.
+#: Whoever holds the rights, the endorsement clause is one sentence.
+HOLDER, ANY_HOLDER = "^neither the names? of .+ nor the names of (?:its|their|any) contributors", "neither the name of the copyright holder nor the names of its contributors"
+#: Ordered: identifiers that follow each other, and the licence they prove. Sentences that name some licence but aren't known
+#: may stand between them, and are used up with them.
 #: ``{v}`` is the version that the sentences name.
 RULES = [
+    ("MITgrant MITnotice MITasis MITliable", "MIT"),
     ("MITgrant MITnotice MITasis", "MIT"),
     ("BSDpre BSDsource BSDbinary BSDendorse", "BSD-3-Clause"),
     ("BSDpre BSDsource BSDbinary", "BSD-2-Clause"),
@@ -70,6 +105,32 @@ RULES = [
     ("GPLlater", "GPL-{v}-or-later"),
     ("GPLonly", "GPL-{v}-only"),
     ("LGPLlater", "LGPL-{v}-or-later"),
+    ("AGPLlater GPLwarranty", "AGPL-{v}-or-later"),
+    ("AGPLlater", "AGPL-{v}-or-later"),
+    ("AGPLname", "AGPL-{v}"),
+    ("LGPLname", "LGPL-{v}"),
+    ("EPLname", "EPL-{v}"),
+    ("ZLIBgrant", "Zlib"),
+    ("UNLICENSE", "Unlicense"),
+    ("BSLname", "BSL-{v}"),
+    ("CCZEROname", "CC0-1.0"),
+    ("MITspdx", "MIT"),
+    ("ISCspdx", "ISC"),
+    ("UNLICENSEspdx", "Unlicense"),
+    ("ZLIBspdx", "Zlib"),
+    ("APACHEspdx", "Apache-{v}"),
+    ("BSDspdx", "BSD-{v}-Clause"),
+    ("GPLonlyspdx", "GPL-{v}-only"),
+    ("GPLlaterspdx", "GPL-{v}-or-later"),
+    ("LGPLonlyspdx", "LGPL-{v}-only"),
+    ("LGPLlaterspdx", "LGPL-{v}-or-later"),
+    ("AGPLonlyspdx", "AGPL-{v}-only"),
+    ("AGPLlaterspdx", "AGPL-{v}-or-later"),
+    ("MPLspdx", "MPL-{v}"),
+    ("EPLspdx", "EPL-{v}"),
+    ("BSLspdx", "BSL-{v}"),
+    ("CCBYspdx", "CC-BY-{v}"),
+    ("CCBYSAspdx", "CC-BY-SA-{v}"),
     ("APACHElic", "Apache-{v}"),
     ("APACHEname", "Apache-{v}"),
     ("GPLname", "GPL-{v}"),
@@ -84,11 +145,12 @@ RULES = [
     ("CCBYNCSAname", "CC-BY-NC-SA-{v}"),
     ("CCBYNCNDname", "CC-BY-NC-ND-{v}"),
 ]
-ANCHORS = "licen[sc]e|copyright|warrant|permission|redistribut|endorse|as is|free software"
+ANCHORS = "licen[sc]e|copyright|warrant|permission|redistribut|endorse|as is|free software|public domain"
 #: A sentence that isn't known is reported if it has one of these.
 NAMES = "licensed under|released under|public license|spdx-license-identifier"
 
 assert all(re.search(ANCHORS, s) for s in SENTENCES)
+assert all(" " in r for k, (r, _) in enumerate(RULES) for later, _ in RULES[k + 1 :] if " " in later and set(r.split()) & set(later.split()))
 
 #: The first words of all known sentences.
 _OPENINGS = "|".join(sorted({re.escape(" ".join(s.split()[:3])).replace("\\ ", " ").replace("\\#", "#") for s in SENTENCES}))
@@ -99,13 +161,14 @@ def _fold(text: Column) -> Column:
     """Lower case, without quotes and comment signs, one space between words."""
     plain = F.lower(F.regexp_replace(text, r"[\"'`“”‘’]", ""))
     bare = F.regexp_replace(plain, r"(?m)^[ \t]*(?://+|#+|/?\*+/?|;+|--+)", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"[ \t\x0b\f\r]+", " "), r"\bv\. (?=\d)", "v ")
+    spaced = F.regexp_replace(F.regexp_replace(bare, r"[ \t\x0b\f\r]+", " "), r"\bv\. (?=\d)", "v ")
+    return F.regexp_replace(spaced, r"\b(inc|corp|ltd)\. (nor|and|or)\b", "$1 $2")  # no sentence ends there
 
 
 def _sentences(lines: Column) -> Column:
     """Cut at line ends and after sentence ends; trimmed, without the closing sign, none empty."""
     cut = F.split(F.regexp_replace(lines, r"([.!?])(?= |\n|$)", "$1\n"), "\n")
-    return F.filter(F.transform(cut, lambda s: F.regexp_replace(F.trim(s), r"[ .:;!?]+$", "")), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.regexp_replace(F.trim(s), r"[ .:;!?*/]+$", "")), lambda s: s != "")
 
 
 def _identified(sentences: Column) -> Column:
@@ -113,7 +176,7 @@ def _identified(sentences: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
 
     def one(s: Column) -> Column:
-        found = F.element_at(known, F.regexp_replace(s, VERSION, "#"))
+        found = F.element_at(known, F.regexp_replace(F.regexp_replace(s, HOLDER, ANY_HOLDER), VERSION, "#"))
         name = F.coalesce(found, F.when(s.rlike(NAMES), F.lit("UNKNOWN")))
         return F.concat(F.lit("|"), name, F.lit(":"), F.regexp_extract(s, VERSION, 0), F.lit("|"))
 
@@ -123,7 +186,7 @@ def _identified(sentences: Column) -> Column:
 def _pattern(rule: str) -> str:
     """The rule over ``|id:version|`` items; its first version is group 1."""
     first, *rest = rule.split(" ")
-    return rf"\|{first}:([0-9.]*)\|" + "".join(rf"\|{r}:[0-9.]*\|" for r in rest)
+    return rf"\|{first}:([0-9.]*)\|" + "".join(rf"(?:\|UNKNOWN:[0-9.]*\|)*\|{r}:[0-9.]*\|" for r in rest)
 
 
 def _matched(ids: Column) -> Column:
@@ -138,8 +201,17 @@ def _matched(ids: Column) -> Column:
 
     state = F.struct(ids.alias("rest"), F.array().cast("array<string>").alias("found"))
     for rule, licence in RULES:
-        state = let(state, use_up(_pattern(rule), licence))
-    return state
+        if " " in rule:
+            state = let(state, use_up(_pattern(rule), licence))
+    # rules of one identifier come after those of several that share it, and share none among themselves: one step for all
+    alone = F.create_map(*[F.lit(x) for rule, licence in RULES if " " not in rule for x in (rule, licence)])
+
+    def last(s: Column) -> Column:
+        items = lambda k: F.regexp_extract_all(s["rest"], F.lit(r"\|(\w+):([0-9.]*)\|"), F.lit(k))
+        named = F.zip_with(items(1), items(2), lambda i, v: F.regexp_replace(F.replace(F.element_at(alone, i), F.lit("{v}"), v), "-(-|$)", "$1"))
+        return F.struct(s["rest"].alias("rest"), F.concat(s["found"], F.filter(named, lambda x: x.isNotNull())).alias("found"))
+
+    return let(state, last)
 
 
 def license_findings(docs: DataFrame) -> DataFrame:

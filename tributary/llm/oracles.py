@@ -95,8 +95,8 @@ def _licenses() -> str:
     known = " ".join(f"when {_quoted(s)} then {_quoted(i)}" for s, i in L.SENTENCES.items())
     version, opening = _quoted(L.VERSION), L._OPENINGS
     cut = lambda c: rf"string_split(regexp_replace({c}, '([.!?])( |\n|$)', concat('\1', chr(10), '\2'), 'g'), chr(10))"
-    trimmed = lambda c: rf"list_transform({cut(c)}, lambda s: regexp_replace(trim(s), '[ .:;!?]+$', ''))"
-    name = f"coalesce(case regexp_replace(s, {version}, '#', 'g') {known} end, case when regexp_matches(s, {_quoted(L.NAMES)}) then 'UNKNOWN' end)"
+    trimmed = lambda c: rf"list_transform({cut(c)}, lambda s: regexp_replace(trim(s), '[ .:;!?*/]+$', ''))"
+    name = f"coalesce(case regexp_replace(regexp_replace(s, {_quoted(L.HOLDER)}, {_quoted(L.ANY_HOLDER)}), {version}, '#', 'g') {known} end, case when regexp_matches(s, {_quoted(L.NAMES)}) then 'UNKNOWN' end)"
     ids = lambda c: f"array_to_string(list_filter(list_transform(list_filter({trimmed(c)}, lambda s: regexp_matches(s, {_quoted(L.ANCHORS)})), lambda s: '|' || {name} || ':' || regexp_extract(s, {version}) || '|'), lambda s: s is not null), '')"
     steps = []
     for k, (rule, licence) in enumerate(L.RULES):
@@ -104,8 +104,8 @@ def _licenses() -> str:
         got = lambda c: f"list_transform(regexp_extract_all({c}, {p}, 1), lambda v: regexp_replace(replace({_quoted(licence)}, '{{v}}', v), '-(-|$)', '\\1', 'g'))"  # noqa: B023, E731
         steps.append(f"r{k + 1} as (select doc_id, ids, regexp_replace(l, {p}, '', 'g') as l, regexp_replace(p, {p}, '', 'g') as p, list_concat(list_concat(f, {got('l')}), {got('p')}) as f from r{k})")
     return rf"""with t as (select doc_id, coalesce(text, '') as text, regexp_matches(lower(coalesce(text, '')), {_quoted(L.ANCHORS)}) as fit from documents),
-f as (select doc_id, fit, case when fit then regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '["''`“”‘’]', '', 'g')), '(?m)^[ \t]*(?://+|#+|/?\*+/?|;+|--+)', '', 'g'),
- '[ \t\x0b\f\r]+', ' ', 'g'), '\bv\. (\d)', 'v \1', 'g') else '' end as x from t),
+f as (select doc_id, fit, case when fit then regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '["''`“”‘’]', '', 'g')), '(?m)^[ \t]*(?://+|#+|/?\*+/?|;+|--+)', '', 'g'),
+ '[ \t\x0b\f\r]+', ' ', 'g'), '\bv\. (\d)', 'v \1', 'g'), '\b(inc|corp|ltd)\. (nor|and|or)\b', '\1 \2', 'g') else '' end as x from t),
 y as (select doc_id, x, replace(regexp_replace(regexp_replace(regexp_replace(x, '\n *\n', chr(1), 'g'), '\n *({opening})', concat(chr(1), '\1'), 'g'), '[ \n]+', ' ', 'g'), chr(1), chr(10)) as y from f),
 r0 as (select doc_id, {ids("x")} as ids, {ids("x")} as l, {ids("y")} as p, cast([] as varchar[]) as f from y),
 {", ".join(steps)}

@@ -145,7 +145,7 @@ def test_long_texts_are_hashed_in_pieces():
     try:
         parts = list(near_dup.hashed(near_dup.pa.array(texts), near_dup.SPACED))
     finally:
-        words.STEP = 1 << 21
+        words.STEP = 1 << 20
     assert [h for w in parts for h in w.hashes.tolist()] == [h for _, hs, _ in whole for h in hs]
     assert sum(len(w.starts) - 1 for w in parts) == len(texts)
 

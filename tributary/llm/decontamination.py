@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import pick, unpack_row, with_row
+from tributary.llm.common import ROW, pick, unpack_row, with_row
 from tributary.llm.words import ALNUM, U64, hashed, mix, windows
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 BLOCK_BYTES = 8 << 20
 #: Suffixes that are looked up at a time.
 _STEP = 1 << 16
@@ -217,8 +217,9 @@ class Shard:
         return inside[ends] - inside[self.begins]
 
 
-def _looked_up(blocks: list):  # noqa: ANN001, ANN202
-    """``blocks``: broadcasts of ``Items``; with more than one, each is let go after its use."""
+def _looked_up(blocks: list, at: int | None = None):  # noqa: ANN001, ANN202
+    """``blocks``: broadcasts of ``Items``; with more than one, each is let go after its use. The texts are the column ``text``,
+    or the field ``at`` of the packed row."""
 
     def found_in(texts: list[np.ndarray]) -> Shard:
         shard = Shard(texts)
@@ -244,7 +245,8 @@ def _looked_up(blocks: list):  # noqa: ANN001, ANN202
                 for t, at, name, start, n in sorted(got.matches):
                     matches[begin + t].append({"item_id": name, "item_start": start, "doc_start": at, "words": n})
 
-            for part in hashed(batch.column("text"), ALNUM):
+            texts = batch.column("text") if at is None else batch.column(ROW).flatten()[at]
+            for part in hashed(texts, ALNUM):
                 for k in range(len(part.starts) - 1):
                     own = part.hashes[part.starts[k] : part.starts[k + 1]]
                     if shard and size + len(own) > SHARD_WORDS:
@@ -273,13 +275,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
         yield item_windows([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
-def with_matches(rows: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``rows`` (with a column text) plus n_words, n_hit, ``items`` (sorted ids) and ``matches``: item_id, item_start,
+def with_matches(rows: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, at: int | None = None) -> DataFrame:
+    """``rows`` (with a column text, or with it as field ``at`` of the packed row) plus n_words, n_hit, ``items`` (sorted ids) and ``matches``: item_id, item_start,
     doc_start, words of the longest verbatim matches of ``WINDOW`` words or more (or of a whole shorter item)."""
     context = rows.sparkSession.sparkContext
     blocks = [context.broadcast(block) for block in _blocks(benchmark, block_bytes)]
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T._parse_datatype_string(MATCHES))]
-    found = rows.mapInArrow(_looked_up(blocks), T.StructType([*rows.schema.fields, *more]))
+    found = rows.mapInArrow(_looked_up(blocks, at), T.StructType([*rows.schema.fields, *more]))
     return found.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
@@ -291,5 +293,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without a hit word, with their own columns."""
-    found = with_matches(with_row(docs, text="string"), benchmark, block_bytes)
+    rows = with_row(docs, text="string")
+    at = docs.columns.index("text")
+    if docs.schema[at].dataType == T.StringType():  # then it needn't be sent a second time
+        found = with_matches(rows.select(ROW), benchmark, block_bytes, at)
+    else:
+        found = with_matches(rows, benchmark, block_bytes)
     return unpack_row(found.where("n_hit = 0"), docs.columns)

@@ -13,7 +13,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed at a time; a longer text is cut between words, so only a longer word is hashed as a whole.
-STEP = 1 << 21
+STEP = 1 << 20
 
 
 class Words(NamedTuple):

@@ -62,3 +62,19 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["check", *common, "--base", str(tmp_path / "old.json")]) == 0
     assert "affected_exposures\t1" in capsys.readouterr().out
     assert cli.main(["docs", *common, "--output", str(tmp_path / "out")]) == 0 and (tmp_path / "out/README.md").exists()
+
+
+def test_fix_files(spark, tmp_path, capsys):
+    text = json.loads(json.dumps(MANIFEST))
+    node = text["nodes"]["model.shop.fct_b"]
+    node |= {"raw_code": "with q as (select 1 as k) select id from {{ ref('stg_a') }} ;", "original_file_path": "models/b.sql", "meta": {}}
+    other = text["nodes"]["model.shop.stg_a"]
+    other |= {"raw_code": "select ID from {{ source('raw', 't') }};", "original_file_path": "models/a.sql", "meta": {}}
+    (tmp_path / "manifest.json").write_text(json.dumps(text))
+    (tmp_path / "models").mkdir()
+    (tmp_path / "models/b.sql").write_text("\n" + node["raw_code"] + "\n")
+    (tmp_path / "models/a.sql").write_text("select 2;")
+    assert cli.main(["lint", "--fix", "--manifest", str(tmp_path / "manifest.json"), "--project-dir", str(tmp_path)]) == 0
+    said = capsys.readouterr().out
+    assert (tmp_path / "models/b.sql").read_text() == "\nselect id from {{ ref('stg_a') }}\n" and "fixed\tmodel.shop.fct_b\ttrailing_semicolon,unused_cte" in said
+    assert (tmp_path / "models/a.sql").read_text() == "select 2;" and "refused\tmodel.shop.stg_a" in said

@@ -2,9 +2,10 @@
 
 import pytest
 
+from tributary.functions import sql_fixes
 from tributary.functions import sql_text as S
 from tributary.operators import diff, lineage, lint
-from tributary.plans.bundle import bundle
+from tributary.plans.bundle import SCHEMAS, bundle
 
 PARENTS = {"ref:a": ("m.a", ["id", "x", "y"]), "ref:b": ("m.b", ["id", "z"]), "source:s.t": ("s.t", None)}
 A, B = "{{ ref('a') }}", "{{ ref('b') }}"
@@ -122,3 +123,66 @@ def test_column_diff(spark, project):
     assert got == {("model.p.c", "renamed", "renamed", "vv", "breaking"), ("model.p.c", "fresh", "added", None, "non-breaking")}
     dead = diff.dead_columns(spark.createDataFrame([("model.p.c", "vv")], "node string, col string"), eo)
     assert {tuple(r) for r in dead.collect()} == {("model.p.c", "vv"), ("model.p.d", "last")}
+
+
+ARMS = "{% if a %} {{ source('s', 't') }} {% elif b %} {{ source('s', 'u') }} {% else %} {% for i in z %} {{ source('s', 'v') }} {% endfor %} {% endif %}"
+
+
+@pytest.mark.parametrize(
+    ("sql", "tables", "want"),
+    [
+        (ARMS, "tuv", False),
+        (ARMS + " {{ source('s', 'w') }}", "tw", True),
+        (ARMS + " {{ source('s', 't') }}", "tu", True),  # t is read again outside the block
+        (ARMS, "tx", True),  # nothing tells where x is read
+        ("{% if a %}{{ source('s', 't') }}{% endif %}{% if b %}{{ source('s', 'u') }}{% endif %}", "tu", True),
+        ("{# {% if a %} #}{{ source('s', 't') }}{# {% else %} #}{{ source('s', 'u') }}", "tu", True),
+    ],
+)
+def test_exclusive_arms(sql, tables, want):
+    assert S.read_together(sql, [f"source.p.s.{t}" for t in tables]) is want
+
+
+def fixed(sql, *rules):
+    return sql_fixes.fix(sql, rules, lambda t: S.analyse(t, PARENTS))
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        (f"select id from {A} ;\n;  -- end;\n", f"select id from {A}   -- end;\n"),
+        (f"with q as (select 1 as k), r as (select id from {A})\nselect id from r;", f"with r as (select id from {A})\nselect id from r"),
+        (f"with r as (select id from {A}), q as (select ')' as k) select id from r;", f"with r as (select id from {A}) select id from r"),
+        (f"with q as (select 1 as k) select id from {A};", f"select id from {A}"),
+        (f"with p as (select 1 as k), q as (select k from p), r as (select id from {A}) select id from r;", f"with r as (select id from {A}) select id from r"),
+        (f"with r as (with q as (select 1 as k) select id from {A}) select id from r;", f"with r as (select id from {A}) select id from r"),
+    ],
+)
+def test_fixes(sql, want):
+    done = fixed(sql, "trailing_semicolon", "unused_cte")
+    assert done.text == want and not [r for r in done.refused if r[0] == "trailing_semicolon"]
+
+
+@pytest.mark.parametrize(
+    ("sql", "rule", "why"),
+    [
+        ("select 1 as id {{ f(';') }}", "trailing_semicolon", "template tag"),
+        (f"with q as (select 1 as k) {{% if x %}} select id from {A} {{% else %}} select k as id from q {{% endif %}}", "unused_cte", "used elsewhere"),
+        (f"with q as (select 1 as k /* why */) select id from {A}", "unused_cte", "comment"),
+        (f"with q as (select 1 as k) select id from {A} where {{{{ some_macro() }}}}", "unused_cte", "template expression"),
+        (f"{{% if x %}} with q as (select 1 as k) {{% endif %}} select id from {A}", "unused_cte", "block"),
+        ("with q as (select 1", "unused_cte", "unreadable"),
+    ],
+)
+def test_refused_fixes(sql, rule, why):
+    done = fixed(sql, rule)
+    assert done.text == sql and not done.applied and [(r, why in w) for r, w in done.refused] == [(rule, True)]
+
+
+def test_sources_that_never_meet(spark):
+    ids = ["source.p.s.t", "source.p.s.u", "source.p.s.v"]
+    nodes = [(u, u[-1], "source", f"s/{u}", None) for u in ids] + [(f"model.p.{n}", n, "model", f"models/{n}.sql", "view") for n in ("apart", "both")]
+    edges = [(u, f"model.p.{n}") for u in ids for n in ("apart", "both")]
+    table = lambda name, rows: spark.createDataFrame(rows, SCHEMAS[name])
+    b = bundle(spark, nodes=table("nodes", nodes), edges=table("edges", edges), node_sql=table("node_sql", [("model.p.apart", ARMS, None, False), ("model.p.both", ARMS + " {{ source('s', 't') }}", None, False)]))
+    assert [(r["unique_id"], r["related"]) for r in lint.RULES["multiple_sources_joined"].run(b, {}).collect()] == [("model.p.both", ids)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tributary.config import read_config
 from tributary.engine import Engine
-from tributary.operators import attributes, diff, impact, lint, select
+from tributary.operators import attributes, diff, impact, lineage, lint, select
 from tributary.plans.bundle import Bundle
 from tributary.session import written
 from tributary.sources import discovery, reports
@@ -39,6 +40,26 @@ def impact_markdown(base: Bundle, current: Bundle) -> str:
     return "\n".join([*out, "## CI selector", "", f"`{selector}`", ""])
 
 
+def fix_files(b: Bundle, found: DataFrame, project_dir: str) -> list[str]:
+    """Writes the mended text of models to their files, and says what was done; a file that no longer holds the text that was
+    judged stays."""
+    said = []
+    plan = lineage.fixes(b, found).join(b.detail.select("unique_id", F.col("original_file_path").alias("path")), "unique_id").join(b.node_sql.select("unique_id", "raw_code"), "unique_id")
+    for r in plan.orderBy("unique_id").toLocalIterator():
+        said += [f"refused\t{r['unique_id']}\t{x['rule']}\t{x['reason']}" for x in r["refused"]]
+        if not r["applied"]:
+            continue
+        path = Path(project_dir, r["path"] or "")
+        text = path.read_text(encoding="utf-8") if path.is_file() else None
+        if text is None or text.strip() != (r["raw_code"] or "").strip():
+            said.append(f"refused\t{r['unique_id']}\t{','.join(r['applied'])}\tthe file doesn't hold the text that was judged")
+            continue
+        blank = text[len(text.rstrip()) :]
+        path.write_text(text[: len(text) - len(text.lstrip())] + r["fixed_code"].strip() + blank, encoding="utf-8")
+        said.append(f"fixed\t{r['unique_id']}\t{','.join(r['applied'])}")
+    return said
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tributary")
     p.add_argument("verb", choices=["ls", "columns", "lint", "check", "impact", "docs"])
@@ -51,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--base", help="what to compare with: a manifest, a folder, or git:<revision>")
     p.add_argument("--baseline", help="file of findings that don't count")
     p.add_argument("--write-baseline", action="store_true", help="replace that file by what is found")
+    p.add_argument("--fix", action="store_true", help="delete trailing semicolons and unread CTEs from the project's files")
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--format", default="text")
     p.add_argument("--direction", choices=["up", "down"], default="up")
@@ -96,6 +118,10 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         if a.argument:
             judged = judged.join(select.select(b, " ".join(a.argument)), "unique_id", "left_semi")
+        if a.fix:
+            for line in fix_files(b, judged.where("class = 'counted'"), a.source or a.project_dir):
+                print(line)
+            return 0
         _print(_ordered(reports.report(judged.where("class = 'counted'"), a.format, b)))
         gates = lint.gate_rows(judged, (config.get("lint") or {}).get("fail_on", "error"))
         return int(not gates.where("status = 'fail'").isEmpty())

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import names as N
+from tributary.functions import sql_fixes as X
 from tributary.functions import sql_text as S
 from tributary.operators import lint, traverse
 from tributary.plans.bundle import Bundle
@@ -140,6 +141,28 @@ def sql_facts(b: Bundle) -> DataFrame:
     return _tasks(b, column_lists(b)).mapInPandas(_fact_rows, FACTS)
 
 
+#: Rules whose findings ``fixes`` can delete.
+FIXABLE = ("trailing_semicolon", "unused_cte")
+FIXES = "unique_id string, fixed_code string, applied array<string>, refused array<struct<rule:string,reason:string>>"
+
+
+def _fix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            _, _, parents = _read(r)
+            done = X.fix(r.raw or "", list(r.rules), lambda t: S.analyse(t, parents))  # noqa: B023
+            rows.append((r.unique_id, done.text, done.applied, [{"rule": rule, "reason": why} for rule, why in done.refused]))
+        yield pd.DataFrame(rows, columns=["unique_id", "fixed_code", "applied", "refused"])
+
+
+def fixes(b: Bundle, found: DataFrame) -> DataFrame:
+    """(unique_id, fixed_code, applied, refused) of the models with fixable findings: their text after the deletions that are
+    safe, the rules of these (one for each deletion), and the reasons why others weren't made."""
+    wanted = found.where(F.col("rule").isin(*FIXABLE)).groupBy("unique_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    return _tasks(b, _listed(b)).join(wanted, "unique_id").mapInPandas(_fix_rows, FIXES)
+
+
 def _key(node: str, col: str):  # noqa: ANN202
     return F.concat_ws("\u0001", node, col)
 

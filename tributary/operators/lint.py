@@ -10,13 +10,15 @@ Most rules are conditions on one node, or on the two ends of one edge. They are
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names as N
+from tributary.functions import sql_text as S
 from tributary.functions.types import types_equivalent
 from tributary.operators import attributes, impact, traverse
 from tributary.operators.select import select
@@ -137,9 +139,20 @@ def direct_join_to_source(b: Bundle, o: Mapping) -> DataFrame:
     return _found(sources.join(_parents(b, _models(b), _models(b)).select("unique_id"), "unique_id", "left_semi"), F.col("related"))
 
 
-@edge_rule("multiple_sources_joined", "modeling", "reads several sources")
-def multiple_sources_joined(o: Mapping) -> tuple[Column, int]:
-    return _is("model", of="c_resource_type") & _is("source", of="p_resource_type"), 2
+def _never_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        apart = [not S.read_together(r.raw_code, list(r.related)) for r in pdf.itertuples(index=False)]
+        yield pdf.loc[apart, ["unique_id"]]
+
+
+@rule("multiple_sources_joined", "modeling", "reads several sources")
+def multiple_sources_joined(b: Bundle, o: Mapping) -> DataFrame:
+    """Sources that only exclusive template arms read never meet in one rendering, and don't count."""
+    ends = _ends(b).where(_is("model", of="c_resource_type") & _is("source", of="p_resource_type"))
+    found = ends.groupBy(F.col("child").alias("unique_id")).agg(F.array_sort(F.collect_set("parent")).alias("related")).where(F.size("related") > 1)
+    branching = b.node_sql.where(F.col("raw_code").rlike(r"\{%-?\s*(elif|else)\b")).select("unique_id", "raw_code")
+    apart = found.join(branching, "unique_id").mapInPandas(_never_together, "unique_id string")
+    return found.join(apart, "unique_id", "left_anti")
 
 
 def _fan_out(b: Bundle, parents: DataFrame, children: DataFrame, threshold: int) -> DataFrame:

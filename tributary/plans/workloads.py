@@ -290,6 +290,14 @@ for _rule, (_k, _related) in ON_TEXT.items():
 query("text_unknown_column_reference", over(B, _COLUMN_EDGES, _AT, query="select x.unique_id, x.parent || '.nope' as related from x join m p on p.unique_id = x.parent where x.k % 9 = 6 and p.k % 6 = 0"))(_on_text("unknown_column_reference", {}))
 
 
+@query("text_fixes", over(B, _COLUMN_EDGES, _AT, query="select unique_id, 'with q as (select id from x) select id from q' as fixed, 'unused_cte' as applied, 0 as refused from x where k % 9 = 3"))
+def text_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _faulty(spark, sf_dir)
+    found = lint.RULES["unused_cte"].run(b, {"facts": _faulty_facts(spark, sf_dir)}).withColumn("rule", F.lit("unused_cte"))
+    fixed = F.regexp_replace("fixed_code", r"\{\{.*?\}\}", "x").alias("fixed")
+    return lineage.fixes(b, found).select("unique_id", fixed, F.array_join("applied", ",").alias("applied"), F.size("refused").alias("refused"))
+
+
 # --- references -----------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from tributary.plans.queries import QUERIES
 #: Queries that join the details of all nodes.
 DETAILED = [
     "lint_exposure_parents_materializations",
+    "lint_exposures_dependent_on_private_models",
 ]
 
 

@@ -9,6 +9,7 @@ from tributary.plans.queries import QUERIES
 DETAILED = [
     "lint_exposure_parents_materializations",
     "lint_exposures_dependent_on_private_models",
+    "lint_incremental_without_unique_key",
 ]
 
 

@@ -10,6 +10,7 @@ DETAILED = [
     "lint_exposure_parents_materializations",
     "lint_exposures_dependent_on_private_models",
     "lint_incremental_without_unique_key",
+    "lint_layer_materializations",
 ]
 
 

@@ -11,6 +11,7 @@ DETAILED = [
     "lint_exposures_dependent_on_private_models",
     "lint_incremental_without_unique_key",
     "lint_layer_materializations",
+    "lint_model_directories",
 ]
 
 

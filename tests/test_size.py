@@ -12,6 +12,7 @@ DETAILED = [
     "lint_incremental_without_unique_key",
     "lint_layer_materializations",
     "lint_model_directories",
+    "lint_models_without_unit_tests",
 ]
 
 

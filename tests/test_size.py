@@ -13,6 +13,7 @@ DETAILED = [
     "lint_layer_materializations",
     "lint_model_directories",
     "lint_models_without_unit_tests",
+    "lint_multiple_sources_joined",
 ]
 
 

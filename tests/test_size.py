@@ -14,6 +14,7 @@ DETAILED = [
     "lint_model_directories",
     "lint_models_without_unit_tests",
     "lint_multiple_sources_joined",
+    "lint_naming_conventions",
 ]
 
 

@@ -15,6 +15,7 @@ DETAILED = [
     "lint_models_without_unit_tests",
     "lint_multiple_sources_joined",
     "lint_naming_conventions",
+    "lint_sources_without_freshness",
 ]
 
 

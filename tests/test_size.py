@@ -16,6 +16,7 @@ DETAILED = [
     "lint_multiple_sources_joined",
     "lint_naming_conventions",
     "lint_sources_without_freshness",
+    "lint_staging_depends_on_staging",
 ]
 
 

@@ -17,6 +17,7 @@ DETAILED = [
     "lint_naming_conventions",
     "lint_sources_without_freshness",
     "lint_staging_depends_on_staging",
+    "lint_trailing_semicolon",
 ]
 
 

@@ -18,6 +18,7 @@ DETAILED = [
     "lint_sources_without_freshness",
     "lint_staging_depends_on_staging",
     "lint_trailing_semicolon",
+    "rewritten_baseline",
 ]
 
 

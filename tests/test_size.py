@@ -19,6 +19,7 @@ DETAILED = [
     "lint_staging_depends_on_staging",
     "lint_trailing_semicolon",
     "rewritten_baseline",
+    "select_meta_key",
 ]
 
 

@@ -20,6 +20,7 @@ DETAILED = [
     "lint_trailing_semicolon",
     "rewritten_baseline",
     "select_meta_key",
+    "lint_marts_depend_on_source",
 ]
 
 

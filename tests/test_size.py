@@ -21,6 +21,7 @@ DETAILED = [
     "rewritten_baseline",
     "select_meta_key",
     "lint_marts_depend_on_source",
+    "lint_references_deprecated_model",
 ]
 
 

@@ -1,9 +1,14 @@
 """What must hold of plans and readers so that large inputs fit, shown on small ones."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
-from tributary.plans import workloads  # noqa: F401  (adds to the pack)
-from tributary.plans.queries import QUERIES
+from tributary.plans import graphs, workloads  # noqa: F401  (workloads adds to the pack)
+from tributary.plans.queries import QUERIES, layered
+from tributary.sources import manifest
+from tributary.sources.fragments import fragments
 
 #: Queries that join the details of all nodes.
 DETAILED = [
@@ -29,3 +34,46 @@ DETAILED = [
 def test_details_are_merged_not_broadcast(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan, plan
+
+
+def _small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+
+
+def test_a_document_on_one_line_is_read_in_blocks(spark, tmp_path):
+    """Members, strings and escapes lie across blocks of some 1,500 bytes; before, the line was one row."""
+    said = 'a "quoted", {braced}, [x] \\ text, ' * 6
+    nodes = {f"model.p.m{k}": {"name": f"m{k}", "resource_type": "model", "path": f"a/m{k}.sql", "description": said + str(k), "depends_on": {"nodes": [f"model.p.m{j}" for j in range(k)]}} for k in range(20)}
+    doc = {"metadata": {"project_name": "p", "adapter_type": "duckdb", "more": {"x": [1, {"y": "}"}]}}, "nodes": nodes, "sources": {}, "list": [1, {"a": 2}], "null": None}
+    try:
+        _small_blocks(spark)
+        for k, text in enumerate((json.dumps(doc, separators=(",", ":")), json.dumps(doc), json.dumps(doc, indent=2))):
+            path = tmp_path / f"{k}.json"
+            path.write_text(text)
+            assert spark.read.option("lineSep", ",").text(str(path)).rdd.getNumPartitions() > 5
+            found = fragments(spark, str(path))
+            got = {r["section"]: r["n"] for r in found.where("text rlike '[^ \\n]'").groupBy("section").agg(F.count("*").alias("n")).collect()}
+            assert got == {"metadata": 3, "nodes": 20, None: 1}
+            if k:
+                continue
+            b = manifest.manifest(spark, str(path))
+            assert {r["unique_id"]: r["description"] for r in b.detail.collect()} == {u: n["description"].strip() for u, n in nodes.items()}
+            assert b.edges.count() == 20 * 19 // 2 and (b.root_project, b.adapter_type) == ("p", "duckdb")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("text", ["", "nope {", "[1]", '{"nodes": {"a": {}}', '{"nodes": {"a": {}]}', '{"nodes": {"a": {b}}}', '{"nodes": {}} x', '{"nodes": {"a}}'])
+def test_what_is_no_document_is_told(spark, tmp_path, text):
+    (tmp_path / "m.json").write_text(text)
+    with pytest.raises(ValueError, match="isn't a JSON document"):
+        manifest.manifest(spark, str(tmp_path / "m.json"))
+
+
+def test_the_manifest_is_written_in_lines(spark, sf):
+    """No row holds more than a member, and the lines together are a JSON document."""
+    lines = [r["value"] for r in graphs.manifest_document(layered(spark, sf)).collect()]
+    doc = json.loads("".join(lines))
+    assert len(lines) == 5 + sum(len(doc[s]) for s in ("nodes", "sources", "exposures", "unit_tests")) and max(map(len, lines)) < 2000

@@ -1,5 +1,5 @@
-"""Artifact readers: manifest, catalog, run results, compiled SQL. One JSON document is one text row, read with explicit
-schemas whose dynamic parts are maps, so uids never become columns."""
+"""Artifact readers: manifest, catalog, run results, compiled SQL. A manifest file is read member by member (see
+``fragments``), another JSON document as one text row, both with explicit schemas whose dynamic parts are maps, so uids never become columns."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from tributary.functions import names as N
 from tributary.operators import traverse
 from tributary.plans.bundle import CONSTRAINT, FRESHNESS, SCHEMAS, Bundle, bundle, universe_of
 from tributary.session import written
+from tributary.sources.fragments import fragments
 
 _COLUMN = f"struct<name:string,data_type:string,description:string,constraints:array<{CONSTRAINT}>>"
 _DEPENDS = "struct<nodes:array<string>,macros:array<string>>"
@@ -74,40 +75,83 @@ def _scalar_or_list(c: Column) -> Column:
 
 
 def manifest(spark: SparkSession, path: str) -> Bundle:
-    return from_document(read_text(spark, path))
+    """A manifest file, or a folder of its parts in the order of their names; read member by member, whatever its size."""
+    try:
+        return _from_items(_Fragments(fragments(spark, path)))
+    except ValueError as e:
+        raise ValueError("the manifest isn't a JSON document") from e
 
 
 def manifest_text(spark: SparkSession, text: str) -> Bundle:
     return from_document(spark.createDataFrame([(text,)], "value string"))
 
 
+class _Row:
+    """A manifest as one row."""
+
+    def __init__(self, doc: DataFrame) -> None:
+        self.doc = doc
+
+    def items(self, name: str) -> DataFrame:
+        return self.doc.select(F.explode(name).alias("unique_id", "n"))
+
+    def fields(self) -> dict[str, str]:
+        return self.doc.select("metadata.project_name", "metadata.adapter_type").first().asDict()
+
+    def has_maps(self) -> bool:
+        return not self.doc.where("parent_map is not null or child_map is not null").isEmpty()
+
+
+class _Fragments:
+    """A manifest as a row a member (section, text)."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+        self.kinds = dict(f.split(":", 1) for f in _split_schema(MANIFEST.removeprefix("struct<").removesuffix(">")))
+
+    def items(self, name: str) -> DataFrame:
+        own = self.rows.where(F.col("section") == name)
+        return own.select(F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), self.kinds[name])).alias("unique_id", "n"))
+
+    def fields(self) -> dict[str, str]:
+        own = self.rows.where("section = 'metadata'").select(F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,string>")).alias("k", "v"))
+        return {"project_name": None, "adapter_type": None} | {r["k"]: r["v"] for r in own.where("k in ('project_name', 'adapter_type')").collect()}
+
+    def has_maps(self) -> bool:
+        return not self.rows.where("section in ('parent_map', 'child_map')").isEmpty()
+
+
 def from_document(text: DataFrame) -> Bundle:
-    spark = text.sparkSession
-    doc = written(_document(text, MANIFEST, "manifest"), "manifest")
-    every = written(_items(doc, "nodes"), "manifest-nodes")
+    return _from_items(_Row(written(_document(text, MANIFEST, "manifest"), "manifest")))
+
+
+def _from_items(doc: _Row | _Fragments) -> Bundle:
+    every = written(doc.items("nodes"), "manifest-nodes")
+    spark = every.sparkSession
     keep = every.where(~F.coalesce("n.resource_type", F.lit("")).isin(*N.EXCLUDED_TYPES))
     null = F.lit(None).cast("string")
     row = lambda d, kind, materialized=null: d.select("unique_id", F.col("n.name").alias("name"), kind.alias("resource_type"), F.coalesce("n.path", "n.original_file_path").alias("path"), materialized.alias("materialized"))
     terminals = {"exposure": "exposures", "semantic_model": "semantic_models", "metric": "metrics", "saved_query": "saved_queries"}
-    nodes = row(keep, F.col("n.resource_type"), F.col("n.config.materialized")).unionByName(row(_items(doc, "sources"), F.lit("source")))
-    wanted = doc.select(F.explode("parent_map").alias("child", "parents")).select("child", F.explode("parents").alias("parent"))
-    below = doc.select(F.explode("child_map").alias("parent", "children")).select("parent", F.explode("children").alias("child"))
+    nodes = row(keep, F.col("n.resource_type"), F.col("n.config.materialized")).unionByName(row(doc.items("sources"), F.lit("source")))
+    wanted = doc.items("parent_map").select(F.col("unique_id").alias("child"), F.explode("n").alias("parent"))
+    below = doc.items("child_map").select(F.col("unique_id").alias("parent"), F.explode("n").alias("child"))
     edges = wanted.unionByName(below.select("child", "parent"))
     own = keep.select(F.col("unique_id").alias("child"), F.explode("n.depends_on.nodes").alias("parent"))
-    edges = edges.unionByName(own) if doc.where("parent_map is not null or child_map is not null").isEmpty() else edges
+    edges = edges if doc.has_maps() else edges.unionByName(own)
     for kind, name in terminals.items():
-        items = _items(doc, name)
+        items = doc.items(name)
         nodes = nodes.unionByName(row(items, F.lit(kind)))
         edges = edges.unionByName(items.select(F.col("unique_id").alias("child"), F.explode("n.depends_on.nodes").alias("parent")))
     nodes = written(nodes, "nodes")
     edges = written(traverse.pruned(edges.select("parent", "child").distinct(), nodes), "edges")
-    info = doc.select("metadata.project_name", "metadata.adapter_type", "docs").first()
+    info = doc.fields()
     root = info["project_name"]
-    overview = next((d["block_contents"] for k, d in sorted((info["docs"] or {}).items()) if k == f"doc.{root}.__overview__"), None)
+    shown = doc.items("docs").where(F.col("unique_id") == f"doc.{root}.__overview__").select("n.block_contents").first()
+    overview = shown and shown["block_contents"]
     kinds = {r["resource_type"]: r["n"] for r in keep.groupBy(F.col("n.resource_type").alias("resource_type")).agg(F.count("*").alias("n")).collect()}
     warnings = [f"{n} nodes of {'unsupported' if k in UNSUPPORTED else 'unknown'} type {k}" for k, n in sorted(kinds.items(), key=lambda x: str(x[0])) if k not in HANDLED]
-    macros = _items(doc, "macros")
-    parked = doc.select(F.explode(F.map_keys("disabled")).alias("unique_id")).where("size(split(unique_id, '[.]')) between 3 and 4")
+    macros = doc.items("macros")
+    parked = doc.items("disabled").select("unique_id").where("size(split(unique_id, '[.]')) between 3 and 4")
     seg = F.split("unique_id", r"\.")
     parked = parked.select("unique_id", F.when(seg[0] == "source", F.get(seg, 3)).otherwise(seg[2]).alias("name"), seg[0].alias("resource_type"))
     # tests, analyses and operations answer a call by name too, though they are no nodes of the graph
@@ -116,10 +160,10 @@ def from_document(text: DataFrame) -> Bundle:
     return bundle(
         spark, nodes, edges,
         detail=written(_details(doc, keep, terminals), "detail"),
-        columns=_columns(keep).unionByName(_columns(_items(doc, "sources"))),
+        columns=_columns(keep).unionByName(_columns(doc.items("sources"))),
         tests=written(_tests(doc, every, nodes), "tests"),
         node_sql=keep.where("n.raw_code is not null or n.compiled_code is not null").select("unique_id", F.col("n.raw_code").alias("raw_code"), F.col("n.compiled_code").alias("compiled_code"), F.lit(False).alias("stale")),
-        exposures=_items(doc, "exposures").select("unique_id", F.col("n.type").alias("exposure_type"), F.col("n.owner.name").alias("owner_name"), F.col("n.owner.email").alias("owner_email"), F.col("n.url").alias("url")),
+        exposures=doc.items("exposures").select("unique_id", F.col("n.type").alias("exposure_type"), F.col("n.owner.name").alias("owner_name"), F.col("n.owner.email").alias("owner_email"), F.col("n.url").alias("url")),
         macros=macros.select(F.col("unique_id").alias("uid"), F.col("n.name").alias("name"), F.col("n.macro_sql").alias("sql"), F.transform(F.coalesce("n.arguments", F.array().cast("array<struct<name:string>>")), lambda a: a["name"]).alias("params")),
         macro_edges=macros.select(F.col("unique_id").alias("caller"), F.explode("n.depends_on.macros").alias("callee")),
         node_macros=keep.select("unique_id", F.explode("n.depends_on.macros").alias("macro_uid")),
@@ -135,7 +179,7 @@ def _columns(items: DataFrame) -> DataFrame:
     return items.select("unique_id", F.inline(entries))
 
 
-def _details(doc: DataFrame, keep: DataFrame, terminals: dict[str, str]) -> DataFrame:
+def _details(doc: _Row | _Fragments, keep: DataFrame, terminals: dict[str, str]) -> DataFrame:
     fields = [(f.split(" ")[0], f.split(" ", 1)[1]) for f in _split_schema(SCHEMAS["detail"])][1:]
 
     def rows(items: DataFrame, **own: Column) -> DataFrame:
@@ -144,7 +188,7 @@ def _details(doc: DataFrame, keep: DataFrame, terminals: dict[str, str]) -> Data
 
     c = F.col
     meta = F.transform_values(F.coalesce("n.meta", "n.config.meta", F.create_map().cast("map<string,string>")), lambda _, v: N.meta_string(v))
-    semantic = [_items(doc, n).select(F.explode("n.depends_on.nodes").alias("unique_id"), c("unique_id").alias("d")) for k, n in terminals.items() if k != "exposure"]
+    semantic = [doc.items(n).select(F.explode("n.depends_on.nodes").alias("unique_id"), c("unique_id").alias("d")) for k, n in terminals.items() if k != "exposure"]
     dependents = semantic[0].unionByName(semantic[1]).unionByName(semantic[2]).groupBy("unique_id").agg(F.array_sort(F.collect_set("d")).alias("dependents"))
     models = rows(
         keep.join(dependents, "unique_id", "left"),
@@ -155,7 +199,7 @@ def _details(doc: DataFrame, keep: DataFrame, terminals: dict[str, str]) -> Data
     )
     plain = F.transform_values(F.coalesce("n.meta", F.create_map().cast("map<string,string>")), lambda _, v: N.meta_string(v))
     sources = rows(
-        _items(doc, "sources"),
+        doc.items("sources"),
         description=_blank(c("n.description")), tags=_texts(c("n.tags")), meta=plain, database=c("n.database"), schema=c("n.schema"), identifier=c("n.identifier"), relation_name=c("n.relation_name"),
         original_file_path=N.normal_path(c("n.original_file_path")), package_name=c("n.package_name"), loaded_at_field=c("n.loaded_at_field"), loader=c("n.loader"),
         warn_after=F.when(c("n.freshness.warn_after.count").isNotNull(), c("n.freshness.warn_after")), error_after=F.when(c("n.freshness.error_after.count").isNotNull(), c("n.freshness.error_after")),
@@ -163,7 +207,7 @@ def _details(doc: DataFrame, keep: DataFrame, terminals: dict[str, str]) -> Data
     out = models.unionByName(sources)
     for kind, name in terminals.items():
         extra = {"tags": _texts(c("n.tags")), "meta": plain} if kind == "exposure" else {}
-        out = out.unionByName(rows(_items(doc, name), description=_blank(c("n.description")), original_file_path=N.normal_path(c("n.original_file_path")), package_name=c("n.package_name"), **extra))
+        out = out.unionByName(rows(doc.items(name), description=_blank(c("n.description")), original_file_path=N.normal_path(c("n.original_file_path")), package_name=c("n.package_name"), **extra))
     return out
 
 
@@ -178,7 +222,7 @@ def _split_schema(schema: str) -> list[str]:
     return [x.strip() for x in out]
 
 
-def _tests(doc: DataFrame, every: DataFrame, nodes: DataFrame) -> DataFrame:
+def _tests(doc: _Row | _Fragments, every: DataFrame, nodes: DataFrame) -> DataFrame:
     """Tests belong to their attached node, else to every node they depend on; unit tests to the model they name."""
     t = every.where("n.resource_type = 'test'")
     on = F.when(F.col("n.attached_node").isNotNull(), F.array("n.attached_node")).otherwise(_texts(F.col("n.depends_on.nodes")))
@@ -192,7 +236,7 @@ def _tests(doc: DataFrame, every: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = rows.join(nodes.select("unique_id"), "unique_id", "left_semi")
     names = nodes.select(F.col("unique_id").alias("ref_uid"), F.col("name").alias("ref_name"))
     rows = rows.join(names, "ref_uid", "left").select("unique_id", "name", "kind", "column_name", "ref_uid", "ref_name", "ref_column")
-    units = _items(doc, "unit_tests").select("n", F.explode_outer(_texts(F.col("n.depends_on.nodes"))).alias("d"))
+    units = doc.items("unit_tests").select("n", F.explode_outer(_texts(F.col("n.depends_on.nodes"))).alias("d"))
     target = nodes.where("resource_type = 'model'").select(F.col("unique_id").alias("target"), F.col("name").alias("target_name"))
     by_dep = units.join(target, F.col("d") == F.col("target")).select("n", "target", F.when(F.col("target").endswith(F.concat(F.lit(".v"), F.coalesce("n.version", F.lit("?")))), 0).when(F.col("target_name") == F.col("n.model"), 1).otherwise(2).alias("rank"))
     by_name = units.select("n.name", "n.model").distinct().join(target, F.col("model") == F.col("target_name")).select("name", "target", F.lit(3).alias("rank"))

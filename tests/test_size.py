@@ -77,3 +77,26 @@ def test_the_manifest_is_written_in_lines(spark, sf):
     lines = [r["value"] for r in graphs.manifest_document(layered(spark, sf)).collect()]
     doc = json.loads("".join(lines))
     assert len(lines) == 5 + sum(len(doc[s]) for s in ("nodes", "sources", "exposures", "unit_tests")) and max(map(len, lines)) < 2000
+
+
+@pytest.fixture(scope="module")
+def not_built(spark, sf):
+    from tributary.plans import queries
+
+    queries._built.pop((spark.sparkContext.applicationId, sf, "read_back"), None)
+
+
+#: Queries over the manifest that is written and read back.
+READ_BACK = [
+    "manifest_columns",
+    "manifest_edges",
+]
+
+
+@pytest.mark.parametrize("name", READ_BACK)
+def test_no_manifest_is_read_as_one_row(spark, sf, not_built, monkeypatch, name):
+    def fail(*_):
+        raise AssertionError("the whole document in one row")
+
+    monkeypatch.setattr(manifest, "read_text", fail)
+    assert QUERIES[name](spark, sf).count() > 0

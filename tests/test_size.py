@@ -90,6 +90,7 @@ def not_built(spark, sf):
 READ_BACK = [
     "manifest_columns",
     "manifest_edges",
+    "manifest_details",
 ]
 
 

@@ -91,6 +91,7 @@ READ_BACK = [
     "manifest_columns",
     "manifest_edges",
     "manifest_details",
+    "manifest_tests",
 ]
 
 

@@ -92,6 +92,7 @@ READ_BACK = [
     "manifest_edges",
     "manifest_details",
     "manifest_tests",
+    "manifest_exposures",
 ]
 
 

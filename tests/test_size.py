@@ -93,6 +93,7 @@ READ_BACK = [
     "manifest_details",
     "manifest_tests",
     "manifest_exposures",
+    "manifest_nodes",
 ]
 
 

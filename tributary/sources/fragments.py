@@ -118,7 +118,7 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
     for pos, name, by in named:
         section = F.when((F.col("depth") == 2) & (F.col("pos") > pos), name).otherwise(section)
         bracket = F.when((F.col("depth") == 2) & (F.col("pos") > pos), by).otherwise(bracket)
-    rest = every.where("not (depth < 2 and by in ('{', '['))").withColumns({"section": section, "bracket": bracket})
+    rest = every.where("not (depth < 2 and coalesce(by, '') in ('{', '['))").withColumns({"section": section, "bracket": bracket})
     wrapped = F.concat(F.col("bracket"), "text", F.when(F.col("bracket") == "{", "}").otherwise("]"))
     closed = F.col("by").isNull() | (F.col("by") == ",") | (F.col("by") == F.when(F.col("bracket") == "{", "}").otherwise("]"))
     good = F.when(F.col("depth") == 0, F.trim(F.regexp_replace("text", r"\s", "")) == "").otherwise(closed & F.try_parse_json(wrapped).isNotNull())

@@ -46,6 +46,7 @@ def changed_macros(base: Bundle, current: Bundle) -> DataFrame:
 def modifications(base: Bundle, current: Bundle) -> DataFrame:
     """(unique_id, reasons) of nodes on both sides that differ, the reasons in fixed order: materialization, parents,
     columns (not of seeds), tests, SQL (of models, both sides present), macros."""
+    base, current = base.merging(), current.merging()
     old = _described(base).select("unique_id", *[F.col(c).alias(f"old_{c}") for c in ("materialized", "parents", "columns", "tests", "sql")])
     both = _described(current).join(old, "unique_id")
     has_macros = not (base.macros.isEmpty() and current.macros.isEmpty())
@@ -100,7 +101,7 @@ def column_changes(base: Bundle, current: Bundle, base_edges: DataFrame, current
     """(unique_id, column, change, was): columns added, removed, renamed, with another type or expression, of modified
     nodes that aren't seeds. ``base_edges`` and ``current_edges`` are column edges (from_node, from_col, to_node,
     to_col, kind); the expressions are (unique_id, column, expr)."""
-    modified = written(modifications(base, current).join(current.nodes.where("resource_type <> 'seed'"), "unique_id").select("unique_id"), "modified")
+    modified = written(modifications(base, current).join(current.nodes.where("resource_type <> 'seed'"), "unique_id").select("unique_id"), "modified").hint("merge")
     cols = lambda b, p: b.columns.join(modified, "unique_id", "left_semi").select("unique_id", N.normalize_column(F.col("name")).alias("column"), F.col("data_type").alias(f"{p}_type"), F.lit(True).alias(p))
     both = written(cols(base, "old").join(cols(current, "new"), ["unique_id", "column"], "full_outer"), "columns")
     gone, fresh = both.where("new is null"), both.where("old is null")

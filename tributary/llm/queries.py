@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import decontamination, licenses, line_chunks, mixing, near_dup, quality, secrets, sharding, token_counts, warc
-from tributary.llm.common import read_table
+from tributary.llm.common import materialize, read_table
 from tributary.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no findings labelled by hand: the forest is fitted on those of the documents whose label is
+    """The tables hold no findings labelled by hand: the forest is fitted on those of all documents whose label is
     certain, and on invented ones of the kinds that these documents lack. They have no path column either."""
     docs = read_table(spark, sf_dir, "documents")
-    some = secrets.training_documents(docs)
-    known = secrets.dictionary([*secrets.DICTIONARY, *secrets.corpus_words(some)])
-    forest = secrets.fit_on(secrets.labelled_findings(some), secrets.invented_findings(), known=known)
-    return secrets.secret_findings(docs, forest)
+    known = secrets.dictionary([*secrets.DICTIONARY, *secrets.corpus_words(docs)])
+    found = materialize(secrets.described(docs, known), "candidates")
+    forest = secrets.grown(found.withColumn("h", F.xxhash64("doc_id", "start", "value_sha256")), secrets.invented_findings(), known=known)
+    return secrets.judged(found, forest)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

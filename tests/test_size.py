@@ -122,3 +122,20 @@ def test_all_rules_are_not_one_plan(spark, sf):
 def test_a_later_state_merges_models(spark, sf):
     plan = later(spark, sf).tests._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_the_manifest_is_written_and_read_by_merging(spark, sf, monkeypatch):
+    """But for the exposures, nothing is broadcast by the size of compressed files."""
+    seen = {}
+    for module in (graphs, manifest):
+        real = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, real=real, of=module.__name__: seen.setdefault((of.split(".")[-1], name), _broadcasts(df)) and None or real(df, name))
+    graphs.manifest_document(layered(spark, sf))
+    doc = {"metadata": {}, "nodes": {"model.p.a": {"name": "a", "resource_type": "model"}, "test.p.t": {"name": "t", "resource_type": "test", "depends_on": {"nodes": ["model.p.a"]}}}}
+    manifest.manifest_text(spark, json.dumps(doc))
+    # one: the exposures, of which the graph has 16
+    assert (seen["graphs", "members"], seen["manifest", "edges"], seen["manifest", "tests"]) == (1, 0, 0), seen

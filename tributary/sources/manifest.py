@@ -143,7 +143,8 @@ def _from_items(doc: _Row | _Fragments) -> Bundle:
         nodes = nodes.unionByName(row(items, F.lit(kind)))
         edges = edges.unionByName(items.select(F.col("unique_id").alias("child"), F.explode("n.depends_on.nodes").alias("parent")))
     nodes = written(nodes, "nodes")
-    edges = written(traverse.pruned(edges.select("parent", "child").distinct(), nodes), "edges")
+    merged = nodes.hint("merge")  # by the size of its compressed files Spark would have the driver broadcast the ids of all nodes
+    edges = written(traverse.pruned(edges.select("parent", "child").distinct(), merged), "edges")
     info = doc.fields()
     root = info["project_name"]
     shown = doc.items("docs").where(F.col("unique_id") == f"doc.{root}.__overview__").select("n.block_contents").first()
@@ -161,7 +162,7 @@ def _from_items(doc: _Row | _Fragments) -> Bundle:
         spark, nodes, edges,
         detail=written(_details(doc, keep, terminals), "detail"),
         columns=_columns(keep).unionByName(_columns(doc.items("sources"))),
-        tests=written(_tests(doc, every, nodes), "tests"),
+        tests=written(_tests(doc, every, merged), "tests"),
         node_sql=keep.where("n.raw_code is not null or n.compiled_code is not null").select("unique_id", F.col("n.raw_code").alias("raw_code"), F.col("n.compiled_code").alias("compiled_code"), F.lit(False).alias("stale")),
         exposures=doc.items("exposures").select("unique_id", F.col("n.type").alias("exposure_type"), F.col("n.owner.name").alias("owner_name"), F.col("n.owner.email").alias("owner_email"), F.col("n.url").alias("url")),
         macros=macros.select(F.col("unique_id").alias("uid"), F.col("n.name").alias("name"), F.col("n.macro_sql").alias("sql"), F.transform(F.coalesce("n.arguments", F.array().cast("array<struct<name:string>>")), lambda a: a["name"]).alias("params")),

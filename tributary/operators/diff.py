@@ -101,17 +101,28 @@ def column_changes(base: Bundle, current: Bundle, base_edges: DataFrame, current
     """(unique_id, column, change, was): columns added, removed, renamed, with another type or expression, of modified
     nodes that aren't seeds. ``base_edges`` and ``current_edges`` are column edges (from_node, from_col, to_node,
     to_col, kind); the expressions are (unique_id, column, expr)."""
-    modified = written(modifications(base, current).join(current.nodes.where("resource_type <> 'seed'"), "unique_id").select("unique_id"), "modified").hint("merge")
-    cols = lambda b, p: b.columns.join(modified, "unique_id", "left_semi").select("unique_id", N.normalize_column(F.col("name")).alias("column"), F.col("data_type").alias(f"{p}_type"), F.lit(True).alias(p))
-    both = written(cols(base, "old").join(cols(current, "new"), ["unique_id", "column"], "full_outer"), "columns")
+    told = base_exprs is not None and current_exprs is not None
+    base, current = base.merging(), current.merging()
+    kept = lambda df: df.join(base.nodes.select("unique_id"), "unique_id", "left_semi").join(current.nodes.where("resource_type <> 'seed'"), "unique_id", "left_semi")
+    lists = _columns(base).withColumnRenamed("columns", "old").join(_columns(current).withColumnRenamed("columns", "new").hint("merge"), "unique_id", "full_outer")
+    name = lambda c: N.normalize_column(c["n"])
+    # unlike lists make a node modified; of equal ones only names that are equal once they are normalized can show a change
+    twins = F.size(F.array_distinct(F.transform("old", name))) < F.size("old")
+    lists = lists.withColumn("unlike", ~F.col("old").eqNullSafe(F.col("new")))
+    lists = written(kept(lists.where(F.col("unlike") | twins).hint("merge")), "column-lists")
+    if told or not lists.where("not unlike").isEmpty():
+        modified = written(kept(modifications(base, current).select("unique_id")), "modified").hint("merge")
+        lists = lists.join(modified, "unique_id", "left_semi")
+    cols = lambda p: lists.select("unique_id", F.explode(p).alias("c")).select("unique_id", name(F.col("c")).alias("column"), F.nullif(F.col("c.t"), F.lit("\u0000")).alias(f"{p}_type"), F.lit(True).alias(p))
+    both = written(cols("old").join(cols("new").hint("merge"), ["unique_id", "column"], "full_outer"), "columns")
     gone, fresh = both.where("new is null"), both.where("old is null")
-    renames = rename_pairs(gone, fresh, base_edges, current_edges)
+    renames = written(rename_pairs(gone, fresh, base_edges, current_edges), "renames").hint("merge")
     out = renames.select("unique_id", F.col("new").alias("column"), F.lit("renamed").alias("change"), F.col("old").alias("was"))
     plain = lambda df, side, word: df.join(renames.select("unique_id", F.col(side).alias("column")), ["unique_id", "column"], "left_anti").select("unique_id", "column", F.lit(word).alias("change"), F.lit(None).cast("string").alias("was"))
     typed = both.where(F.col("old") & F.col("new") & ~type_form(F.coalesce("old_type", F.lit(""))).eqNullSafe(type_form(F.coalesce("new_type", F.lit("")))))
     out = out.unionByName(plain(gone, "old", "removed")).unionByName(plain(fresh, "new", "added"))
     out = out.unionByName(typed.select("unique_id", "column", F.lit("type").alias("change"), F.col("old_type").alias("was")))
-    if base_exprs is not None and current_exprs is not None:
+    if told:
         pair = base_exprs.select("unique_id", "column", F.col("expr").alias("was")).join(current_exprs, ["unique_id", "column"]).join(modified, "unique_id", "left_semi")
         out = out.unionByName(pair.where("was <> expr").select("unique_id", "column", F.lit("expression").alias("change"), "was"))
     return out
@@ -119,24 +130,22 @@ def column_changes(base: Bundle, current: Bundle, base_edges: DataFrame, current
 
 def rename_pairs(gone: DataFrame, fresh: DataFrame, base_edges: DataFrame, current_edges: DataFrame) -> DataFrame:
     """(unique_id, old, new, shared): a removed and an added column that are fed by a common column. Greedy by shared
-    columns, then names; each is used once. The order inside a node matters, so nodes are matched one by one."""
-    feeds = lambda df, edges, name: df.select("unique_id", F.col("column").alias(name)).join(
-        edges.where("kind <> 'filter_or_join'").select(F.col("to_node").alias("unique_id"), F.col("to_col").alias(name), F.concat_ws("\u0001", "from_node", "from_col").alias("feed")).distinct(), ["unique_id", name]
-    )
-    pairs = feeds(gone, base_edges, "old").join(feeds(fresh, current_edges, "new"), ["unique_id", "feed"]).groupBy("unique_id", "old", "new").agg(F.count("*").alias("shared"))
+    columns, then names; each is used once. A node's pairs are folded in that order, by the executors without Python."""
+
+    # only nodes that have both can have a pair
+    nodes = written(gone.select("unique_id").distinct().hint("merge").join(fresh.select("unique_id"), "unique_id", "left_semi"), "rename-nodes").hint("merge")
 
-    def match(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values(["shared", "old", "new"], ascending=[False, True, True])
-        used_old, used_new, keep = set(), set(), []
-        for r in pdf.itertuples(index=False):
-            fits = r.old not in used_old and r.new not in used_new
-            keep.append(fits)
-            if fits:
-                used_old.add(r.old)
-                used_new.add(r.new)
-        return pdf[keep]
+    def feeds(df: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        df = df.join(nodes, "unique_id", "left_semi").select("unique_id", F.col("column").alias(name))
+        fed = edges.where("kind <> 'filter_or_join'").join(nodes.withColumnRenamed("unique_id", "to_node"), "to_node", "left_semi").select(F.col("to_node").alias("unique_id"), F.col("to_col").alias(name), F.concat_ws("\u0001", "from_node", "from_col").alias("feed"))
+        return df.hint("merge").join(fed.join(df.hint("merge"), ["unique_id", name], "left_semi").distinct(), ["unique_id", name])
 
-    return pairs.groupBy("unique_id").applyInPandas(match, "unique_id string, old string, new string, shared long")
+    pairs = feeds(gone, base_edges, "old").join(feeds(fresh, current_edges, "new").hint("merge"), ["unique_id", "feed"]).groupBy("unique_id", "old", "new").agg(F.count("*").alias("shared"))
+    ranked = pairs.groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("rank"), "old", "new"))).alias("pairs"))
+    none = F.array().cast("array<struct<rank:bigint,old:string,new:string>>")
+    used = lambda keep, p, c: F.exists(keep, lambda k: k[c] == p[c])
+    keep = F.aggregate("pairs", none, lambda keep, p: F.when(used(keep, p, "old") | used(keep, p, "new"), keep).otherwise(F.concat(keep, F.array(p))))
+    return ranked.select("unique_id", F.inline(keep)).select("unique_id", "old", "new", (-F.col("rank")).alias("shared"))
 
 
 def dead_columns(start: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
@@ -167,7 +176,7 @@ def affected(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """``changes`` with affected (columns reached) and severity. A removed or renamed column is looked up by its old name."""
     start = changes.withColumn("col", F.when(F.col("change") == "renamed", F.col("was")).otherwise(F.col("column")))
     key = lambda node, col: F.concat_ws("\u0001", node, col)
-    graph = edges.select(key("from_node", "from_col").alias("parent"), key("to_node", "to_col").alias("child")).distinct()
+    graph = edges.select(key("from_node", "from_col").alias("parent"), key("to_node", "to_col").alias("child"))  # the walk drops what is reached twice
     seeds = start.select(key("unique_id", "col").alias("seed"), key("unique_id", "col").alias("unique_id")).distinct()
     counts = traverse.walk(graph, seeds).groupBy("seed").agg(F.count("*").alias("affected"))
     out = start.withColumn("seed", key("unique_id", "col")).join(counts, "seed", "left").drop("seed", "col").na.fill(0, ["affected"])

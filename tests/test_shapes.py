@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.operators import diff, lineage
-from tributary.plans import graphs
+from tributary.plans import graphs, queries, workloads  # noqa: F401  (workloads adds to the pack)
 from tributary.plans.bundle import SCHEMAS, bundle
-from tributary.plans.queries import layered
+from tributary.plans.queries import QUERIES, layered
 from tributary.session import written
 
 A, B, Z, S = "{{ ref('alpha') }}", "{{ ref('beta') }}", "{{ ref('zeta') }}", "{{ source('s', 'theta') }}"
@@ -94,3 +94,18 @@ def test_column_changes_dont_describe_every_node(spark, sf, monkeypatch):
     none = written(spark.createDataFrame([], lineage.EDGES), "none")
     found = diff.column_changes(base, graphs.mutated(base, sf, write_edges=False), none, none)
     assert {r["change"] for r in found.groupBy("change").agg(F.count("*")).collect()} == {"added", "removed", "type"}
+
+
+def test_severities_are_walked_once(spark, sf, monkeypatch):
+    """Both queries read one table; the walk was made for each."""
+    walks, real = [], diff.affected
+    monkeypatch.setattr(diff, "affected", lambda *a: walks.append(1) or real(*a))
+    queries._built.pop((spark.sparkContext.applicationId, sf, "severities"), None)
+    assert QUERIES["column_severities"](spark, sf).where("severity = 'breaking'").count() == QUERIES["breaking_columns"](spark, sf).count() > 0
+    assert len(walks) == 1
+
+
+def test_columns_are_dealt_to_fixed_tasks(spark, sf):
+    """Shuffles of a fixed number aren't merged by compressed size, which made tasks run out of memory at 60 x sf0.1."""
+    plan = graphs.mutated(layered(spark, sf), sf, write_edges=False).columns._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan, plan

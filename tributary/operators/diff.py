@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tributary.functions import names as N
 from tributary.operators import traverse
 from tributary.plans.bundle import Bundle
-from tributary.session import written
+from tributary.session import dealt, written
 
 
 def _parents(b: Bundle) -> DataFrame:
@@ -104,12 +104,13 @@ def column_changes(base: Bundle, current: Bundle, base_edges: DataFrame, current
     told = base_exprs is not None and current_exprs is not None
     base, current = base.merging(), current.merging()
     kept = lambda df: df.join(base.nodes.select("unique_id"), "unique_id", "left_semi").join(current.nodes.where("resource_type <> 'seed'"), "unique_id", "left_semi")
-    lists = _columns(base).withColumnRenamed("columns", "old").join(_columns(current).withColumnRenamed("columns", "new").hint("merge"), "unique_id", "full_outer")
+    listed = lambda b, p: _columns(b.with_(columns=dealt(b.columns, "unique_id"))).withColumnRenamed("columns", p)
+    lists = listed(base, "old").join(listed(current, "new").hint("merge"), "unique_id", "full_outer")
     name = lambda c: N.normalize_column(c["n"])
     # unlike lists make a node modified; of equal ones only names that are equal once they are normalized can show a change
     twins = F.size(F.array_distinct(F.transform("old", name))) < F.size("old")
     lists = lists.withColumn("unlike", ~F.col("old").eqNullSafe(F.col("new")))
-    lists = written(kept(lists.where(F.col("unlike") | twins).hint("merge")), "column-lists")
+    lists = written(kept(written(lists.where(F.col("unlike") | twins), "column-lists").hint("merge")), "column-lists")
     if told or not lists.where("not unlike").isEmpty():
         modified = written(kept(modifications(base, current).select("unique_id")), "modified").hint("merge")
         lists = lists.join(modified, "unique_id", "left_semi")
